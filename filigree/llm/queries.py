@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, urlfilter
+from . import ann, decontam, mixing, quality, simhash, substring, tokenbin, tokencount, toxicity, urlfilter
 
 #: The rules of the URL filter query: host, path, verdict.
 URL_RULES = [
@@ -19,10 +19,25 @@ URL_RULES = [
 ]
 
 
+#: Ids that end a document in the token files, from the query's contract.
+END_ID = 2
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file lies; only the queries know the place, the operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -33,13 +48,44 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.counts_after_edits(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("text_hash")
+
+
+def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_table(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_url_filter, op5_simhash_components)}
+    own = (
+        op1_ann_one_bit_codes, op2_mix_sources, op3_url_filter, op4_edit_token_counts, op5_simhash_components,
+        op6_quality_perplexity, op7_toxicity_neighbours, op8_decontaminate, op9_repeated_passages, op10_token_files,
+    )
+    return {f.__name__: f for f in own}
 
 
 #: Words as the operators count them.

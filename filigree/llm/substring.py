@@ -115,17 +115,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = cuts.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_cuts"))).alias("_cuts"))
     held = docs.join(per.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
 
+    names, at = docs.columns, docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs.columns.index(text_col)
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, known in enumerate(b.column(len(docs.columns)).to_pylist()):
+            for i, known in enumerate(b.column(len(names)).to_pylist()):
                 if known:
                     key = int(np.uint64(xxhash.xxh3_64_intdigest(texts[i] or "")).astype(np.int64))
                     for span in reversed(dict(known).get(key, [])):
                         texts[i] = texts[i][: span["start"]] + texts[i][span["end"] :]
-            columns = [b.column(k) for k in range(len(docs.columns))]
+            columns = [b.column(k) for k in range(len(names))]
             columns[at] = pa.array(texts, b.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return held.mapInArrow(run, docs.schema)

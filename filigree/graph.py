@@ -157,7 +157,7 @@ def energy(g: Graph, mse: float, kind: str = "Base", alpha: float = 0.0, beta: f
     if kind == "Penalized" and goals is not None and len(g.lam):
         known = np.isfinite(goals).all(1)
         stretch += float(g.lam.min() * ((g.y[known] - goals[known]) ** 2).sum())
-    return Energy(mse + stretch + bend, mse, stretch, bend)
+    return Energy(float(mse + stretch + bend), float(mse), float(stretch), float(bend))
 
 
 def barcode(g: Graph) -> str:

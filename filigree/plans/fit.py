@@ -68,7 +68,7 @@ class Fitted:
 def report_row(g: Graph, e: Energy, variance: float, msep: float | None = None) -> dict:
     """The seventeen numbers that describe an embedded graph; ``variance`` is the cloud's total variance."""
     degree, k = g.degrees(), g.k
-    share = lambda v: None if v is None or variance <= 0 else (variance - v) / variance
+    share = lambda v: None if v is None or variance <= 0 else float((variance - v) / variance)
     values = (barcode(g), e.total, k, len(g.edges), int((degree == 2).sum()), int((degree == 3).sum()), 0, 0, e.mse, msep, share(e.mse), share(msep), e.stretch, e.bend, e.bend * k, e.bend * k * k, 0.0)
     return dict(zip(REPORT, values))
 

@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python workers can import it."""
+    root, raw = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(p.relative_to(root.parent))), p.read_bytes())
+    digest = hashlib.sha256(raw.getvalue()).hexdigest()[:12]
+    known = (spark.sparkContext.applicationId, digest)
+    if known not in _SHIPPED:
+        path = Path(tempfile.mkdtemp(prefix="filigree-")) / f"filigree-{digest}.zip"
+        path.write_bytes(raw.getvalue())
+        spark.sparkContext.addPyFile(str(path))
+        _SHIPPED.add(known)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own on a single machine only."""

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, written
 
 ORDER = 4
-#: Grams in the table that all tasks hold; grams counted in a task before it passes them on; characters handled at once.
-HOT, COUNTED, AT_ONCE = 1 << 18, 1 << 20, 1 << 21
+#: Grams in the table that all tasks hold; grams counted in a task before it passes them on; characters and rows handled at once.
+HOT, COUNTED, AT_ONCE, ROWS = 1 << 18, 1 << 19, 1 << 19, 512
 #: Characters that stand for the start and the end of a text and for what lies beyond 16 bits.
 START, END, BEYOND = 2, 3, 0xFFFF
 
@@ -70,8 +70,10 @@ def packed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            frames = [pack.compress((t.as_py() or "").encode("utf-8", "replace")) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(frames, pa.binary())], ["doc_id", "frame"])
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
+                frames = [pack.compress((t.as_py() or "").encode("utf-8", "replace")) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(frames, pa.binary())], ["doc_id", "frame"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, frame binary")
 
@@ -99,8 +101,8 @@ def count_grams(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["gram", "n", "trusted"])
 
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
                 good = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 for flag in (False, True):
                     frames = part.column(0).filter(pa.array(good == flag)).to_pylist()
@@ -217,20 +219,22 @@ def perplexities(docs: DataFrame, model: DataFrame, hot_size: int = HOT) -> Data
         hot, done = shared.value, TaskContext.get().partitionId() << 36
         slots = hot.front()
         logp = np.append(hot.logp, 0.0)
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            for i, j in pieces(texts):
-                keys, lengths = grams(texts[i:j])
-                at = hot.find(slots, keys) if len(hot.keys) else np.full(len(keys), -1)
-                rows = np.repeat(np.arange(j - i), lengths)
-                sums = np.bincount(rows, logp[at], j - i)
-                rare = np.nonzero(at < 0)[0]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=j - i))]).astype(np.int32)
-                left = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[rare]))
-                part = b.slice(i, j - i)
-                ids = pa.array(done + np.arange(j - i))
-                done += j - i
-                yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(1), part.column(3), pa.array(lengths), pa.array(sums), left], ["row_id", "doc_id", "lang", "text_hash", "n", "logp", "rare"])
+        for whole in batches:
+            for first_row in range(0, len(whole), ROWS):
+                b = whole.slice(first_row, ROWS)
+                texts = b.column(2).to_pylist()
+                for i, j in pieces(texts):
+                    keys, lengths = grams(texts[i:j])
+                    at = hot.find(slots, keys) if len(hot.keys) else np.full(len(keys), -1)
+                    rows = np.repeat(np.arange(j - i, dtype=np.int32), lengths)
+                    sums = np.bincount(rows, logp[at], j - i)
+                    rare = np.nonzero(at < 0)[0]
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=j - i))]).astype(np.int32)
+                    left = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[rare]))
+                    part = b.slice(i, j - i)
+                    ids = pa.array(done + np.arange(j - i))
+                    done += j - i
+                    yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(1), part.column(3), pa.array(lengths), pa.array(sums), left], ["row_id", "doc_id", "lang", "text_hash", "n", "logp", "rare"])
 
     first = written(docs.select("doc_id", "lang", "text", "text_hash").mapInArrow(run, "row_id long, doc_id long, lang string, text_hash long, n long, logp double, rare array<long>"), "scores")
     rare = first.select("row_id", F.explode("rare").alias("gram")).groupBy("row_id", "gram").agg(F.count("*").alias("k"))

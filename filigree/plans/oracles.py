@@ -110,10 +110,10 @@ def sql() -> dict[str, str]:
         "join_20_nearest_start_node": """SELECT n_regionkey AS fixed_id, (SELECT i FROM (SELECT unnest(generate_series(0, 10)) AS i) ORDER BY abs(i * 1000.0 - bal), i LIMIT 1)::INT AS node_id
             FROM (SELECT n_regionkey, avg(s_acctbal) AS bal FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)""",
         "join_21_row_norms": f"{BASE} SELECT vec_id, round(list_inner_product(x, x), 6) AS x2 FROM pts",
-        "volume_lineitem_assign": """WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS a, l_extendedprice / 100000 AS b, l_discount * 10 AS c FROM lineitem),
-            n AS (SELECT l_linenumber - 1 AS node_id, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM p GROUP BY 1),
-            d AS (SELECT p.l_orderkey, p.l_linenumber, node_id, (p.a - n.a) ** 2 + (p.b - n.b) ** 2 + (p.c - n.c) ** 2 AS d2 FROM p, n),
-            m AS (SELECT arg_min(node_id, d2) AS node_id, min(d2) AS d2 FROM d GROUP BY l_orderkey, l_linenumber)
+        "volume_lineitem_assign": """WITH p AS (SELECT row_number() OVER () AS k, l_linenumber - 1 AS own, l_quantity / 50 AS a, l_extendedprice / 100000 AS b, l_discount * 10 AS c FROM lineitem),
+            n AS (SELECT own AS node_id, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM p GROUP BY 1),
+            d AS (SELECT k, node_id, (p.a - n.a) ** 2 + (p.b - n.b) ** 2 + (p.c - n.c) ** 2 AS d2 FROM p, n),
+            m AS (SELECT arg_min(node_id, d2) AS node_id, min(d2) AS d2 FROM d GROUP BY k)
             SELECT node_id::INT AS node_id, count(*) AS n, round(avg(d2), 6) AS mse FROM m GROUP BY 1""",
         "join_12_knn_cosine": f"{BASE}{_PAIRS} SELECT vec_id, {_RANK}::INT AS rank, neighbor_id FROM pairs WHERE vec_id <> neighbor_id QUALIFY {_RANK} <= 5",
         "join_13_knn_guide": f"{BASE}{_PAIRS} SELECT vec_id, {_RANK}::INT AS rank, neighbor_id FROM pairs WHERE abs(la - lb) <= 1 QUALIFY {_RANK} <= 5",

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = re.compile(WORD).findall
 #: Words of items in one block, and words whose hashes a task remembers.
-BLOCK_WORDS, MEMO = 2_000_000, 400_000
+BLOCK_WORDS, MEMO = 2_000_000, 100_000
 
 
 def words_of(text: str | None) -> list[str]:

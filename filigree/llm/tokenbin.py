@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
@@ -31,47 +34,118 @@ from pyspark.sql import functions as F
 from .common import cut, new_path, written
 
 MAGIC = b"FGTOK001"
-LEVEL = 3
+LEVEL = 1
 #: Documents of a shard, of the dictionary's sample, bytes of the dictionary, chunks that a worker remembers.
-SHARD_DOCS, SAMPLE_DOCS, DICT_BYTES, MEMO, LONGEST = 4096, 1024, 1 << 16, 300_000, 64
+SHARD_DOCS, SAMPLE_DOCS, DICT_BYTES, MEMO, LONGEST = 4096, 1024, 1 << 16, 100_000, 48
+#: Marks that a tokenizer sets apart from the letter or digit before them, and plain lower-case letters.
+MARKED = r"([a-z0-9])([.,;:?!])([\x20\x09-\x0D]|\z)"
+PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+#: Bytes of text handled at once.
+TEXT = 2_000_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4")])
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer that never looks across ASCII white space.
+    """Ids of whole texts by a tokenizer that lower-cases and never looks across ASCII white space.
 
-    Such a tokenizer gives a text the ids of its white-space-separated chunks
-    one after another, so the ids of short chunks are remembered.
+    Such a tokenizer gives a text the ids of its white-space-separated chunks one after another, and a chunk that ends
+    in one mark after an ASCII letter or digit those of the two parts.  Ids of short chunks are remembered in two
+    generations, so that frequent ones stay.  Texts that may hold the tokenizer's own special tokens are encoded whole.
     """
 
     _of: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        most = max(vocabulary.values())
+        self.kind, self.closes = "<u2" if most < 1 << 16 else "<u4", None
+        if suffix:
+            self.closes = np.zeros(1 + most, bool)
+            self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
         """One per Python worker: workers are used again for later tasks."""
-        return cls._of.setdefault(path, cls(path)) if path not in cls._of else cls._of[path]
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts the ids of all chunks into ``memo``."""
+        if len(self.memo) + len(chunks) > MEMO:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        plain, odd = [], []
+        for c in chunks:
+            if c in old:
+                memo[c] = old[c]
+            else:
+                (plain if self.closes is not None and PLAIN(c) else odd).append(c)
+        # A word of plain letters is one pre-token, which one id ends: many of them go to the tokenizer as one text.
+        for i in range(0, len(plain), 1024):
+            part = plain[i : i + 1024]
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, self.kind)
+            at = np.nonzero(self.closes[ids])[0] + 1
+            if len(at) != len(part):
+                odd += part
+                continue
+            raw, before = ids.tobytes(), 0
+            for c, end in zip(part, (ids.itemsize * at).tolist()):
+                memo[c] = raw[before:end]
+                before = end
+        for i in range(0, len(odd), 1024):
+            part = odd[i : i + 1024]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                memo[c] = np.array(e.ids, self.kind).tobytes()
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        out = list(map(self.memo.get, chunks))
+        lost = [i for i, ids in enumerate(out) if ids is None]
+        self._learn([chunks[i] for i in lost])
+        for i in lost:
+            out[i] = self.memo[chunks[i]]
+            if len(chunks[i]) > LONGEST:
+                del self.memo[chunks[i]]
+        return out
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers; none for null."""
-        memo = self.memo
-        for i in range(0, len(texts), 256):
-            split = [(t or "").encode("utf-8", "replace").split() for t in texts[i : i + 256]]
-            new = [c for c in set().union(*split) if c not in memo]
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set().union(*split))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-            for chunks in split:
-                yield np.frombuffer(b"".join([memo[c] for c in chunks]), "<u4")
-            for c in new:
-                if len(c) > LONGEST:
-                    memo.pop(c, None)
+        """The ids of each text; none for null."""
+        return (np.frombuffer(raw, self.kind) for raw in self.raw(pa.array(texts, pa.string())))
+
+    def raw(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text as little-endian integers of ``kind``."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first, done = 0, 0
+        while first < len(texts):  # at most TEXT bytes at once, or one text
+            last = max(first + 1, int(np.searchsorted(ends, done + TEXT, "right")))
+            yield from self._raw(pc.fill_null(texts.slice(first, last - first), ""))
+            first, done = last, int(ends[last - 1])
+
+    def _raw(self, texts: pa.Array) -> Iterator[bytes]:
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), MARKED, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(apart)
+        coded = split.values.dictionary_encode()
+        ids = self._chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at, pool = coded.indices.to_numpy(), np.frombuffer(b"".join(ids), self.kind)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // pool.itemsize
+        n = sizes[at]
+        ends = np.cumsum(n)
+        take = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)
+        take += np.arange(len(take))
+        out, bounds = pool[take], np.append(0, ends)[split.offsets.to_numpy()]
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        for k in range(len(texts)):
+            if special[k]:
+                yield np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, self.kind).tobytes()
+            else:
+                yield out[bounds[k] : bounds[k + 1]].tobytes()
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -94,15 +168,15 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
     shards; other columns are ignored.  The dictionary is trained on the ids of
     about SAMPLE_DOCS documents picked by a hash of their id.
     """
-    spark, tiny = docs.sparkSession, np.iinfo(np.uint16).max
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.count()
     every = max(1, total // SAMPLE_DOCS)
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE_DOCS)
-    sample = list(Encoder.at(tokenizer).ids([r[0] for r in picked.toLocalIterator()]))
-    wide = Encoder.at(tokenizer).tokenizer.get_vocab_size() > tiny or end_id > tiny
-    kind = "<u4" if wide else "<u2"
-    raw = train_dictionary([s.astype(kind).tobytes() for s in sample])
+    kind = Encoder.at(tokenizer).kind
+    if end_id > np.iinfo(kind).max:
+        raise ValueError(f"the end id {end_id} is no id of this tokenizer")
+    raw = train_dictionary(list(Encoder.at(tokenizer).raw(pa.array([r[0] for r in picked.toLocalIterator()], pa.string()))))
     digest = hashlib.sha256(raw).hexdigest()
     fs, root = FileSystem.from_uri(out_dir)
     fs.create_dir(root)
@@ -111,14 +185,13 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
     shared = spark.sparkContext.broadcast(raw)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = Encoder.at(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(shared.value), write_checksum=True)
+        end, encoder, pack = np.array([end_id], kind).tobytes(), Encoder.at(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(shared.value), write_checksum=True)
         for b in batches:
             for i in range(0, len(b), 1024):
                 part, frames, counts = b.slice(i, 1024), [], []
-                for ids in encoder.ids(part.column(1).to_pylist()):
-                    ids = np.append(ids, np.uint32(end_id))
-                    counts.append(len(ids))
-                    frames.append(pack.compress(ids.astype(kind).tobytes()))
+                for ids in encoder.raw(part.column(1)):
+                    counts.append(len(ids) // len(end) + 1)
+                    frames.append(pack.compress(ids + end))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
 
     coded = written(docs.mapInArrow(encode, "doc_id long, n long, frame binary"), "frames")

@@ -73,7 +73,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
+    return substring.passages(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ repeat.  Runs of consecutive repeats of at least ``min_words`` words are what is
 removed, given by their offsets in the original text.
 
 Passages are often spliced into the middle of a line, where hashed lines would
-not find them, so the default unit is the clause: at most a clause at either end
-of a passage then escapes.
+not find them, so ``repeats`` takes clauses: at most a clause at either end of a
+passage then escapes.  ``passages`` misses nothing: it compares every window of
+``min_words`` words, wherever it begins.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .decontam import words_of
+from .common import cut, lookup, written
+from .decontam import _Hashes, shingle_hashes, words_of
 
 #: What a unit of each kind looks like.
 UNITS = {
@@ -34,6 +36,10 @@ UNITS = {
 }
 #: Documents handled at once, share of the units that is looked at for hot digests.
 AT_ONCE, PEEK = 512, 0.02
+#: Words of the grams that pick the windows to compare.
+GRAM = 16
+#: ASCII characters that belong to words, as in decontam.WORD.
+_IN_WORD = np.array([chr(c).isalnum() for c in range(128)])
 
 
 def units_of(text: str | None, unit: str = "clause") -> list[tuple[int, int, int, int]]:
@@ -67,18 +73,8 @@ def _units(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, _key long, _at long, _span long, _digest long")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "clause", min_words: int = 35) -> DataFrame:
-    """``(doc_id, text_hash, start, end, n_words, n_units, first_doc_id)``: the passages to remove.
-
-    ``start`` and ``end`` are character offsets in the original text;
-    ``first_doc_id`` is a document that keeps an earlier occurrence of the
-    passage's first unit.  Occurrences rank by id (null first), then text hash,
-    then place.  A text is kept whole within a run: gaps between its units are
-    removed with it.  Null or empty texts have no units; rows that repeat id and
-    text count as one document; an empty table gives no rows; other columns are
-    ignored.
-    """
-    every = written(_units(docs, id_col, text_col, unit), "units")
+def _later(every: DataFrame) -> DataFrame:
+    """The rows of ``every (doc_id, _key, _at, _span, _digest)`` but the first of each digest, with ``_first``, the first one's rank."""
     total = every.count()
     rank = F.struct("doc_id", "_key", "_at")
     # Digests that hold a 1/2000 of the units or more; their number has that bound, and they are handled without a shuffle of their rows.
@@ -90,7 +86,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     if hot:
         table = every.where(is_hot).groupBy("_digest").agg(F.min(rank).alias("_first"))
         again = again.unionByName(every.where(is_hot).join(F.broadcast(table), "_digest"))
-    again = again.where(~rank.eqNullSafe(F.col("_first")))
+    return again.where(~rank.eqNullSafe(F.col("_first")))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "clause", min_words: int = 35) -> DataFrame:
+    """``(doc_id, text_hash, start, end, n_words, n_units, first_doc_id)``: the passages to remove.
+
+    ``start`` and ``end`` are character offsets in the original text;
+    ``first_doc_id`` is a document that keeps an earlier occurrence of the
+    passage's first unit.  Occurrences rank by id (null first), then text hash,
+    then place.  A text is kept whole within a run: gaps between its units are
+    removed with it.  Null or empty texts have no units; rows that repeat id and
+    text count as one document; an empty table gives no rows; other columns are
+    ignored.
+    """
+    again = _later(written(_units(docs, id_col, text_col, unit), "units"))
     own = ["doc_id", "_key"]
     again = again.groupBy(*own, "_at").agg(F.min(F.struct("_span", "_first")).alias("m"))
     place = F.shiftrightunsigned("_at", 32)
@@ -108,6 +118,153 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     return found.select("doc_id", F.col("_key").alias("text_hash"), "start", "end", "n_words", "n_units", "first_doc_id")
 
 
+def _key_of(texts: list[str | None]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(t or "") for t in texts], np.uint64).view(np.int64))
+
+
+def places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of ``words_of``, as offsets in the text."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[False], (code >= 128) | _IN_WORD[np.minimum(code, 127)], [False]]).astype(np.int8))
+    return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+
+
+def pickers(words: list[str], min_words: int, memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all GRAM-word grams, and for every window of ``min_words`` words the least of its grams' hashes.
+
+    Equal windows have equal least hashes, so only windows whose hash occurs again need to be compared.
+    """
+    n = min(GRAM, min_words)
+    grams = shingle_hashes(words, n, memo)
+    least, size, wide = grams, 1, min_words - n + 1
+    if len(grams) < wide:
+        return grams, grams[:0]
+    while 2 * size <= wide:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    if size < wide:
+        least = np.minimum(least[: size - wide], least[wide - size :])
+    return grams, least
+
+
+def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(doc_id, _key, _gram, n)``: the grams that pick a window and how often each stands in the text; a null gram for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        for b in batches:
+            for i in range(0, len(b), AT_ONCE):
+                part = b.slice(i, AT_ONCE)
+                texts, found = part.column(1).to_pylist(), []
+                for t in texts:
+                    grams, least = pickers(words_of(t), min_words, memo)
+                    found.append(np.unique(grams[np.isin(grams, least)], return_counts=True))
+                own = np.arange(len(part))
+                rows = pa.array(np.concatenate([own, np.repeat(own, [len(f[0]) for f in found])]))
+                grams = pa.concat_arrays([pa.nulls(len(part), pa.int64()), pa.array(np.concatenate([f[0] for f in found]).view(np.int64))])
+                n = pa.array(np.concatenate([np.zeros(len(part), np.int64), *[f[1] for f in found]]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), _key_of(texts).take(rows), grams, n], ["doc_id", "_key", "_gram", "n"])
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, "doc_id long, _key long, _gram long, n int")
+
+
+def _frames(docs: DataFrame) -> DataFrame:
+    """``(doc_id, _key, frame)``: texts as zstandard frames."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            for i in range(0, len(b), AT_ONCE):
+                part = b.slice(i, AT_ONCE)
+                texts = part.column(1).to_pylist()
+                frames = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), _key_of(texts), pa.array(frames, pa.binary())], ["doc_id", "_key", "frame"])
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, "doc_id long, _key long, frame binary")
+
+
+def _compared(rows: DataFrame, min_words: int) -> DataFrame:
+    """Units as of ``_units`` of ``rows (doc_id, _key, frame, grams)``: windows that one of the grams picks, by their first word.
+
+    One row more for each text with words, at -1, has the span of all of them and, for a digest, its words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, unpack = _Hashes(), zstandard.ZstdDecompressor()
+        for b in batches:
+            for i in range(0, len(b), 64):
+                part, out, counts = b.slice(i, 64), [], []
+                for frame, grams in zip(part.column(2), part.column(3)):
+                    text = unpack.decompress(frame.as_py()).decode("utf-8", "surrogatepass")
+                    words, (starts, ends) = words_of(text), places(text)
+                    again = np.asarray(grams.values.to_numpy()).view(np.uint64) if grams.is_valid else np.empty(0, np.uint64)
+                    at = np.nonzero(np.isin(pickers(words, min_words, memo)[1], again))[0] if len(again) else np.empty(0, np.int64)
+                    digests = shingle_hashes(words, min_words, memo)[at] if len(at) else np.empty(0, np.uint64)
+                    last = at + min_words - 1
+                    found = [np.stack([at << 32 | min_words, starts[at] << 32 | (ends[last] - starts[at]), digests.view(np.int64)])]
+                    if len(words):
+                        found.append(np.array([[-1], [starts[0] << 32 | (ends[-1] - starts[0])], [len(words)]], np.int64))
+                    out.append(np.concatenate(found, axis=1))
+                    counts.append(out[-1].shape[1])
+                rows_, flat = pa.array(np.repeat(np.arange(len(part)), counts)), np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_), part.column(1).take(rows_), *map(pa.array, flat)], ["doc_id", "_key", "_at", "_span", "_digest"])
+            pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, "doc_id long, _key long, _at long, _span long, _digest long")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+    """``(doc_id, text_hash, start, end, n_words, n_units, first_doc_id)``: all words in a window of ``min_words`` words, that occurs earlier.
+
+    Columns, ranks and odd rows as in ``repeats``; a unit is a window, and units that overlap or adjoin form one
+    passage.  A window that overlaps its own first occurrence is no repeat.  A copy
+    of a whole text is one passage and one unit.
+
+    Only windows that can repeat are compared: a window is picked by the least
+    hash of its grams (winnowing), and those whose pick stands once only in all
+    texts are left out.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    each = written(_anchors(docs, min_words), "anchors")
+    anchors, ids = each.where("_gram is not null").select("_key", "_gram", "n"), each.where("_gram is null").select("doc_id", "_key")
+    often = anchors.groupBy("_gram").agg(F.count("*").alias("rows"), F.min("_key").alias("a"), F.max("_key").alias("b"), F.max("n").alias("n"))
+    often = cut(often.where("a <> b or n > 1").select("_gram", "rows", F.lit(True).alias("again")))
+    mine = lookup(anchors.drop("n"), often, "_gram", "rows").where("again").select(F.lit(None).cast("long").alias("doc_id"), "_key", F.lit(None).cast("binary").alias("frame"), "_gram")
+    texts = _frames(docs).withColumn("_gram", F.lit(None).cast("long"))
+    first = F.min(F.when(F.col("frame").isNotNull(), F.struct("doc_id"))).alias("own")
+    rows = texts.unionByName(mine).groupBy("_key").agg(first, F.first("frame", ignorenulls=True).alias("frame"), F.collect_set("_gram").alias("grams"))
+    every = written(_compared(rows.select("own.doc_id", "_key", "frame", "grams"), min_words), "windows")
+
+    low = F.lit(0xFFFFFFFF)
+    begin = F.shiftrightunsigned("_span", 32)
+    finish = begin + F.col("_span").bitwiseAND(low)
+    again = _later(every.where("_at >= 0"))
+    word, size = F.shiftrightunsigned("_at", 32), F.col("_at").bitwiseAND(low)
+    within = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_key") == F.col("_first._key"))
+    again = again.where(~within | (word >= F.shiftrightunsigned("_first._at", 32) + size))
+    own = ["doc_id", "_key"]
+    order = Window.partitionBy(*own).orderBy("_at")
+    again = again.select(*own, "_at", "_span", F.col("_first.doc_id").alias("_of"))
+    reach = F.max(word + size).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("_new", F.coalesce(word > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = runs.groupBy(*own, "_run").agg(
+        F.min(begin).alias("start"),
+        F.max(finish).alias("end"),
+        (F.max(word + size) - F.min(word)).alias("n_words"),
+        F.count("*").alias("n_units"),
+        F.min_by("_of", "_at").alias("first_doc_id"),
+    )
+    # Copies of whole texts.
+    held = ids.distinct()
+    whole = every.where("_at < 0").select("_key", begin.alias("start"), finish.alias("end"), F.col("_digest").alias("n_words"), F.col("doc_id").alias("first_doc_id"))
+    whole = cut(whole.join(held.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1"), "_key"))
+    copies = lookup(held, whole, "_key", "rows").where((F.col("n_words") >= min_words) & ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    copies = copies.withColumn("n_units", F.lit(1).cast("long"))
+    out = ["doc_id", F.col("_key").alias("text_hash"), "start", "end", "n_words", "n_units", "first_doc_id"]
+    return written(found.select(*out), "passages").unionByName(copies.select(*out))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "clause", min_words: int = 35) -> DataFrame:
     """``docs`` with the passages of ``repeats`` cut out of their texts; every row and all other columns stay."""
     spans = repeats(docs, id_col, text_col, unit, min_words)

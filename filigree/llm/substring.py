@@ -9,7 +9,7 @@ removed, given by their offsets in the original text.
 Passages are often spliced into the middle of a line, where hashed lines would
 not find them, so ``repeats`` takes clauses: at most a clause at either end of a
 passage then escapes.  ``passages`` misses nothing: it compares every window of
-``min_words`` words, wherever it begins.
+``min_words`` words, wherever it begins, and every line.
 """
 
 from __future__ import annotations
@@ -185,9 +185,9 @@ def _frames(docs: DataFrame) -> DataFrame:
 
 
 def _compared(rows: DataFrame, min_words: int) -> DataFrame:
-    """Units as of ``_units`` of ``rows (doc_id, _key, frame, grams)``: windows that one of the grams picks, by their first word.
+    """Units as of ``_units`` of ``rows (doc_id, _key, frame, grams)``: windows that one of the grams picks, by their first word, and lines.
 
-    One row more for each text with words, at -1, has the span of all of them and, for a digest, its words.
+    One row more for each text with words, at -1, has the span of all its lines and, for a digest, its words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +203,14 @@ def _compared(rows: DataFrame, min_words: int) -> DataFrame:
                     digests = shingle_hashes(words, min_words, memo)[at] if len(at) else np.empty(0, np.uint64)
                     last = at + min_words - 1
                     found = [np.stack([at << 32 | min_words, starts[at] << 32 | (ends[last] - starts[at]), digests.view(np.int64)])]
+                    edges = np.array([m.span() for m in re.finditer(UNITS["line"], text)], np.int64).reshape(-1, 2)
+                    first, stop = np.searchsorted(starts, edges[:, 0]), np.searchsorted(starts, edges[:, 1])
+                    held = stop > first
+                    edges, first, stop = edges[held], first[held], stop[held]
+                    digests = np.array([xxhash.xxh3_64_intdigest(" ".join(words[j:k])) for j, k in zip(first, stop)], np.uint64)
+                    found.append(np.stack([first << 32 | (stop - first), edges[:, 0] << 32 | (edges[:, 1] - edges[:, 0]), digests.view(np.int64)]))
                     if len(words):
-                        found.append(np.array([[-1], [starts[0] << 32 | (ends[-1] - starts[0])], [len(words)]], np.int64))
+                        found.append(np.array([[-1], [edges[0, 0] << 32 | (edges[-1, 1] - edges[0, 0])], [len(words)]], np.int64))
                     out.append(np.concatenate(found, axis=1))
                     counts.append(out[-1].shape[1])
                 rows_, flat = pa.array(np.repeat(np.arange(len(part)), counts)), np.concatenate(out, axis=1)
@@ -215,9 +221,10 @@ def _compared(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """``(doc_id, text_hash, start, end, n_words, n_units, first_doc_id)``: all words in a window of ``min_words`` words, that occurs earlier.
+    """``(doc_id, text_hash, start, end, n_words, n_units, first_doc_id)``: all words in a window of ``min_words`` words, or in a line, that occurs earlier.
 
-    Columns, ranks and odd rows as in ``repeats``; a unit is a window, and units that overlap or adjoin form one
+    Columns, ranks and odd rows as in ``repeats``; a unit is a window or a line,
+    whatever the line's length, and units that overlap or adjoin form one
     passage.  A window that overlaps its own first occurrence is no repeat.  A copy
     of a whole text is one passage and one unit.
 
@@ -255,11 +262,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         F.count("*").alias("n_units"),
         F.min_by("_of", "_at").alias("first_doc_id"),
     )
-    # Copies of whole texts.
+    # Copies of whole texts: all their lines repeat.
     held = ids.distinct()
     whole = every.where("_at < 0").select("_key", begin.alias("start"), finish.alias("end"), F.col("_digest").alias("n_words"), F.col("doc_id").alias("first_doc_id"))
     whole = cut(whole.join(held.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1"), "_key"))
-    copies = lookup(held, whole, "_key", "rows").where((F.col("n_words") >= min_words) & ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    copies = lookup(held, whole, "_key", "rows").where(F.col("n_words").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
     copies = copies.withColumn("n_units", F.lit(1).cast("long"))
     out = ["doc_id", F.col("_key").alias("text_hash"), "start", "end", "n_words", "n_units", "first_doc_id"]
     return written(found.select(*out), "passages").unionByName(copies.select(*out))

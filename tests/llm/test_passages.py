@@ -1,11 +1,58 @@
 """Repeated passages and lines against brute force over words."""
 
 import random
+import re
 
-from filigree.llm import queries
+import xxhash
+
+from filigree.llm import queries, substring
+from filigree.llm.decontam import WORD
 from test_documents import docs, words
 
 
+def plain_passages(rows, min_words):
+    """Character spans of the words in a window or a line that occurs earlier, by word tuples."""
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh3_64_intdigest(r[1] or "") ^ 1 << 63) - (1 << 63)))
+    seen, lines, out = {}, set(), []
+    for d, t in order:
+        marks, spans = [m.span() for m in re.finditer(WORD, t or "")], []
+        low = [t[a:b].lower() for a, b in marks]
+        for s in range(len(low) - min_words + 1):
+            first = seen.setdefault(tuple(low[s : s + min_words]), (d, t, s))
+            if first[:2] != (d, t) or s >= first[2] + min_words:
+                spans.append((s, s + min_words, marks[s][0], marks[s + min_words - 1][1]))
+        for m in re.finditer(r"[^\n]+", t or ""):
+            held = [i for i, (a, _) in enumerate(marks) if m.start() <= a < m.end()]
+            line = tuple(low[i] for i in held)
+            if held and line in lines:
+                spans.append((held[0], held[-1] + 1, m.start(), m.end()))
+            lines.add(line)
+        runs = []
+        for s, e, a, b in sorted(spans):
+            if runs and s <= runs[-1][1]:
+                old = runs[-1]
+                runs[-1] = (old[0], max(old[1], e), min(old[2], a), max(old[3], b))
+            else:
+                runs.append((s, e, a, b))
+        out += [str((d, a, b, e - s)) for s, e, a, b in runs]
+    return sorted(out)
+
+
+def test_passages_between_any_words(spark):
+    """Long clauses whose ends differ, passages inside lines, text that repeats itself."""
+    rng = random.Random(11)
+    plain = [words(rng, rng.randint(50, 90)) for _ in range(6)]
+    rows = [(None, plain[0]), (5, None), (6, ""), (7, " .,;\n"), (8, plain[1]), (8, plain[1]), (9, "der " * 300), (9, plain[2].upper())]
+    for d in range(20, 70):
+        text = [words(rng, rng.randint(1, 40)) for _ in range(8)]
+        text.insert(rng.randrange(8), f"Été {words(rng, 20)}, {rng.choice(plain)} {words(rng, 14)}")
+        rows.append((d, ".\n".join(text)))
+    rows.append((90, rows[-1][1]))
+    got = sorted(str((r["doc_id"], r["start"], r["end"], r["n_words"])) for r in substring.passages(docs(spark, rows)).collect())
+    assert got == plain_passages(rows, 50) and len(got) > 40
+    assert substring.passages(docs(spark, [])).count() == 0
+
+
 def test_query_finds_a_passage_without_whole_clauses(spark, tmp_path):
     """Of 59 words, 25 and 14 stand in clauses that differ at their other end."""
     rng = random.Random(12)
@@ -13,3 +60,10 @@ def test_query_finds_a_passage_without_whole_clauses(spark, tmp_path):
     docs(spark, [(1, "one " + text + " two."), (2, "three " + text + " four.")]).write.parquet(f"{tmp_path}/documents.parquet")
     (found,) = queries.op9_repeated_passages(spark, str(tmp_path)).collect()
     assert (found["doc_id"], found["start"], found["end"], found["n_words"]) == (2, 6, 6 + len(text), 59)
+
+
+def test_query_finds_a_repeated_line(spark, tmp_path):
+    """A line under 35 words between lines that differ."""
+    docs(spark, [(1, "alpha\nthe same line of eight words here\nbeta"), (2, "gamma\nThe same line of eight words here\ndelta")]).write.parquet(f"{tmp_path}/documents.parquet")
+    (found,) = queries.op9_repeated_passages(spark, str(tmp_path)).collect()
+    assert (found["doc_id"], found["start"], found["end"], found["n_words"], found["first_doc_id"]) == (2, 6, 39, 7, 1)

@@ -250,7 +250,7 @@ def trusted_ids(labels: DataFrame, label_col: str = "quality") -> DataFrame:
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = 0.001, high: float = 0.999, slack: float = 1.05, least: int = 200, hot_size: int = HOT
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = 0.02, high: float = 0.98, slack: float = 1.0, least: int = 200, hot_size: int = HOT
 ) -> DataFrame:
     """``(doc_id, text_hash, lang, n_chars, perplexity, low, high, keep)`` for every row of ``docs``.
 

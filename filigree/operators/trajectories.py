@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..session import ensure_checkpoint_dir
 from .assign import coordinates, nearest_node
 
 
@@ -54,19 +55,50 @@ def linear_regression(table: DataFrame) -> DataFrame:
     )
 
 
-def logistic_fit(t: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """One-against-rest logistic curves over scaled ``t`` by Newton's steps with a unit ridge: classes and (classes, 2) weights."""
-    classes = np.unique(y)
-    scaled = np.stack([np.ones(len(t)), (t - t.mean()) / (t.std() or 1.0)], 1)
-    out = []
-    for c in classes:
-        w, hit = np.zeros(2), (y == c).astype(float)
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-scaled @ w))
-            h = scaled.T @ (scaled * (p * (1 - p))[:, None]) + np.diag([1e-6, 1.0])
-            w = w - np.linalg.solve(h, scaled.T @ (p - hit) + np.array([0.0, 1.0]) * w)
-        out.append(w)
-    return classes, np.array(out)
+def logistic_weights(table: DataFrame, steps: int = 50) -> list[tuple]:
+    """``(traj_id, var, mean, sd, class, w0, w1)`` of ``table (traj_id, var, pst, v)``.
+
+    One-against-rest logistic curves over scaled ``pst`` by Newton's steps with a
+    unit ridge.  Each step's sums cover all rows; only sums per curve reach the driver.
+    """
+    group = ["traj_id", "var"]
+    scale = {(r[0], r[1]): (r["m"], r["s"] or 1.0) for r in table.groupBy(*group).agg(F.avg("pst").alias("m"), F.stddev_pop("pst").alias("s")).collect()}
+    curves = {tuple(r): np.zeros(2) for r in table.select(*group, "v").distinct().collect()}
+    rows = lambda: [(*k[:2], *map(float, scale[k[:2]]), float(k[2]), *map(float, w)) for k, w in sorted(curves.items(), key=lambda x: x[0][2])]
+    kind = f"traj_id {table.schema['traj_id'].dataType.simpleString()}, var {table.schema['var'].dataType.simpleString()}, m double, s double, c double, w0 double, w1 double"
+    z, p = F.col("z"), F.col("p")
+    off, heavy = p - (F.col("v") == F.col("c")).cast("double"), p * (1 - p)
+    for _ in range(steps):
+        at = table.join(F.broadcast(table.sparkSession.createDataFrame(rows(), kind)), group)
+        at = at.withColumn("z", (F.col("pst") - F.col("m")) / F.col("s")).withColumn("p", 1 / (1 + F.exp(-(F.col("w0") + F.col("w1") * F.col("z")))))
+        sums = at.groupBy(*group, "c").agg(F.sum(off), F.sum(off * z), F.sum(heavy), F.sum(heavy * z), F.sum(heavy * z * z)).collect()
+        moved = 0.0
+        for traj, var, c, g0, g1, h0, h1, h2 in sums:
+            w = curves[traj, var, c]
+            step = np.linalg.solve(np.array([[h0 + 1e-6, h1], [h1, h2 + 1.0]]), np.array([g0, g1 + w[1]]))
+            curves[traj, var, c] = w - step
+            moved = max(moved, float(np.abs(step / np.maximum(1.0, np.abs(w))).max()))
+        if moved < 1e-9:
+            break
+    return rows()
+
+
+def logistic_r2(table: DataFrame) -> DataFrame:
+    """``(traj_id, var, r2)``: of each row's likeliest class under ``logistic_weights``, over all rows; 0 where there is one class only."""
+    spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
+    table = table.select("traj_id", "var", "pst", F.col("v").cast("double").alias("v")).where("pst is not null and v is not null").checkpoint()
+    kind = table.schema["var"].dataType.simpleString()
+    held: dict[tuple, list] = {}
+    for traj, var, m, s, c, w0, w1 in logistic_weights(table):
+        held.setdefault((traj, var, m, s), []).append((c, w0, w1))
+    curves = spark.createDataFrame([(*k, v) for k, v in held.items()], f"traj_id {table.schema['traj_id'].dataType.simpleString()}, var {kind}, m double, s double, ws array<struct<c: double, w0: double, w1: double>>")
+    z = (F.col("pst") - F.col("m")) / F.col("s")
+    best = F.array_max(F.transform("ws", lambda w: F.struct((w["w0"] + w["w1"] * z).alias("score"), (-w["c"]).alias("less"))))  # the first of equals
+    at = table.join(F.broadcast(curves), ["traj_id", "var"]).withColumn("miss", F.col("v") + best["less"])
+    whole = F.var_pop("v") * F.count("v")
+    r2 = F.when(F.min("v") == F.max("v"), F.lit(0.0)).otherwise(1 - F.sum(F.col("miss") * F.col("miss")) / whole)
+    return at.groupBy("traj_id", "var").agg(r2.alias("r2"))
 
 
 def gaussian_process(t: np.ndarray, v: np.ndarray, at: np.ndarray, noise: float = 0.1) -> np.ndarray:
@@ -91,20 +123,18 @@ def r2_score(y: np.ndarray, predicted: np.ndarray) -> float:
 def regression(table: DataFrame, kind: str = "CONTINUOUS", method: str = "linear", threshold: float = 0.5, most: int = 1000) -> DataFrame:
     """``(traj_id, var, r2)`` above ``threshold``.
 
-    Linear regressions are aggregates.  Classes (BINARY, CATEGORICAL) and
-    ``gpr`` are fitted per trajectory and variable on a hash-ordered sample of
+    Linear regressions and those of classes (BINARY, CATEGORICAL) cover all rows.
+    ``gpr`` is fitted per trajectory and variable on a hash-ordered sample of
     ``most`` rows, which bounds what a task holds.
     """
     if kind in ("CONTINUOUS", "ORDINAL") and method == "linear":
         return linear_regression(table).select("traj_id", "var", "r2").where(F.col("r2") > threshold)
+    if kind in ("BINARY", "CATEGORICAL"):
+        return logistic_r2(table).where(F.col("r2") > threshold)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         t, v = rows["pst"].to_numpy(float), rows["v"].to_numpy(float)
-        if kind in ("BINARY", "CATEGORICAL"):
-            classes, w = logistic_fit(t, v)
-            scaled = np.stack([np.ones(len(t)), (t - t.mean()) / (t.std() or 1.0)], 1)
-            predicted = classes[(scaled @ w.T).argmax(1)]
-        elif method == "gpr":
+        if method == "gpr":
             predicted = gaussian_process(t, v, t)
         else:
             raise ValueError(f"no such regression: {method}")

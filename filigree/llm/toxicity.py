@@ -1,12 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a sample of the labelled rows of stated size.  Terms that speak for
-the label (a likelihood-ratio test over the examples) span the space; their
-document frequencies are counted over all documents.  The index keeps, per term,
-the postings by block of examples and the largest weight in each block; a query
-visits blocks in the order of their upper bounds until no block can hold a
-nearer example, so the neighbours are exact.  Votes weigh by distance, and a
-logistic curve fitted on the examples' own leave-one-out votes calibrates them.
+Examples are a sample of the labelled rows of stated size.  Every term of theirs is
+a dimension; document frequencies are counted over all documents, and a term's
+weight grows with its evidence for the label among the examples (a likelihood
+ratio), down to a small floor for terms without any, so that words which say
+nothing decide only where nothing else does.  The index keeps a term's postings
+by block of examples with the largest weight in each block: a query adds up its
+strongest terms first, and blocks whose best sum plus what the other terms can
+add stays below the k-th best are left out, which changes no neighbour.  Votes
+weigh by distance, and a logistic curve fitted on the examples' own
+leave-one-out votes calibrates them.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,36 +28,69 @@ from .common import cut, written
 
 #: Fixed value: a term is a run of letters.
 _TERMS = re.compile(r"[^\W\d_]+").findall
-#: Labelled rows that examples are taken from at most, terms at most, least evidence and odds of a term, examples in a block.
-EXAMPLES, TERMS, EVIDENCE, ODDS, BLOCK = 20_000, 4096, 25.0, 2.0, 64
-NEIGHBOURS = 25
+#: Labelled rows that examples are taken from at most, examples in a block, votes, words that a task remembers.
+EXAMPLES, BLOCK, NEIGHBOURS, MEMO = 6_000, 64, 25, 200_000
+#: A term's weight is (g / (g + HALF)) ** 2 + FLOOR for a likelihood ratio of g towards the label.
+HALF, FLOOR = 50.0, 1e-3
 
 
 def terms_of(text: str | None) -> list[str]:
     return _TERMS((text or "").lower())
 
 
+def term_hash(term: str) -> int:
+    """A term's 64-bit hash as a signed integer."""
+    return (xxhash.xxh3_64_intdigest(term) ^ 1 << 63) - (1 << 63)
+
+
+def relevance(n: np.ndarray, k: np.ndarray, rows: int, bad: int) -> np.ndarray:
+    """Weights of terms that occur in ``n`` of ``rows`` examples and ``k`` of the ``bad`` ones."""
+    if not 0 < bad < rows:
+        return np.ones(len(n))
+    expected = lambda o, e: np.where(o > 0, o * np.log(np.where(o > 0, o, 1) / e), 0.0)
+    share = bad / rows
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (expected(k, n * share) + expected(n - k, n * (1 - share)) + expected(bad - k, (rows - n) * share) + expected(rows - bad - n + k, (rows - n) * (1 - share)))
+    g = np.where(k > n * share, np.maximum(g, 0), 0.0)
+    return (g / (g + HALF)) ** 2 + FLOOR
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The integers of all ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Index:
-    """Examples as unit vectors, by block, with each block's largest weight per term."""
+    """Examples as unit vectors in an inverted index whose postings are cut by block, with each block's largest weight."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
         self.idf = idf
         made = [self.weights(t, n) for t, n in vectors]
         some = np.array([len(t) > 0 for t, _ in made], bool)
-        self.prior = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.5
+        # Without any example nothing speaks for the label.
+        self.prior = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.25
         none = labels[~some]
         self.without = (none.sum() + self.prior) / (len(none) + 1)
         order = sorted(np.nonzero(some)[0], key=lambda i: (int(made[i][0][np.argmax(made[i][1])]), ids[i]))
         self.ids, self.labels = ids[order], labels[order].astype(float)
         self.vectors = [made[i] for i in order]
-        self.blocks, n = [], -(-len(order) // BLOCK)
-        self.most = np.zeros((len(idf), n))
-        for b in range(n):
-            part = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            local = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
-            t, w = np.concatenate([t for t, _ in part]), np.concatenate([w for _, w in part])
-            np.maximum.at(self.most[:, b], t, w)
-            self.blocks.append((t, w, local, len(part)))
+        sizes = np.array([len(t) for t, _ in self.vectors], np.int64)
+        flat = lambda j, kind: np.concatenate([v[j] for v in self.vectors] or [np.empty(0)]).astype(kind)
+        terms, w, at = flat(0, np.int64), flat(1, float), np.repeat(np.arange(len(sizes)), sizes)
+        by = np.argsort(terms, kind="stable")
+        terms, self.w, self.at = terms[by], w[by], at[by]
+        block = self.at // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        self.start = np.nonzero(new)[0]
+        self.length = np.diff(np.append(self.start, len(terms)))
+        self.block = block[self.start]
+        self.begin = np.searchsorted(terms, np.arange(len(idf) + 1))
+        self.most = np.maximum.reduceat(self.w, self.start) if len(terms) else np.empty(0)
+        self.first = np.searchsorted(terms[self.start], np.arange(len(idf) + 1))
+        self.top = np.zeros(len(idf))
+        np.maximum.at(self.top, terms[self.start], self.most)
         self.slope, self.bias = 1.0, 0.0
         self.slope, self.bias = self._curve()
 
@@ -61,24 +98,50 @@ class Index:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.linalg.norm(w) if len(w) else w
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the ``k`` nearest examples that share a term; ties by position."""
-        bound = w @ self.most[terms]
-        dense = np.zeros(len(self.idf))
-        dense[terms] = w
-        at, cos, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(at) >= k and bound[b] < kth - 1e-12:
-                break
-            t, v, local, n = self.blocks[b]
-            own = np.bincount(local, dense[t] * v, n)
-            own_at = b * BLOCK + np.arange(n)
-            fine = (own > 0) & (own_at != skip)
-            at, cos = np.concatenate([at, own_at[fine]]), np.concatenate([cos, own[fine]])
-            best = np.lexsort((at, -np.round(cos, 12)))[:k]
-            at, cos = at[best], cos[best]
-            kth = cos[-1] if len(cos) else 0.0
-        return at, cos
+    def _add(self, w: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sums per example over ranges of postings, each with its weight."""
+        rows = _ranges(starts, lengths)
+        return np.bincount(self.at[rows], np.repeat(w, lengths) * self.w[rows], len(self.ids))
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, copies: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the ``k`` nearest examples that share a term; ties by position.
+
+        Without ``copies``, examples whose vector is the query's own are left out.
+        """
+        impact = w * self.top[terms]
+        order = np.argsort(-impact, kind="stable")
+        order = order[impact[order] > 0]
+        if not len(order):
+            return np.empty(0, np.int64), np.empty(0)
+        terms, w, left = terms[order], w[order], np.cumsum(impact[order][::-1])[::-1]
+        strong = int(np.searchsorted(-left, -left[0] / 4)) or 1  # terms before which more than a quarter may still come
+        begin = self.begin[terms]
+        length = self.begin[terms + 1] - begin
+        cos = self._add(w[:strong], begin[:strong], length[:strong])
+        if strong < len(terms):
+            kth = np.partition(cos, -k)[-k] if len(cos) >= k and copies else 0.0
+            alive = None
+            if kth > 0:
+                blocks = -(-len(cos) // BLOCK)
+                n = self.first[terms[strong:] + 1] - self.first[terms[strong:]]
+                rest, own = _ranges(self.first[terms[strong:]], n), np.repeat(w[strong:], n)
+                more = np.bincount(self.block[rest], own * self.most[rest], blocks)
+                best = np.pad(cos, (0, blocks * BLOCK - len(cos))).reshape(blocks, BLOCK).max(1)
+                alive = best + more >= kth - 1e-12
+            if alive is not None and 2 * alive.sum() < len(alive):
+                fine = alive[self.block[rest]]
+                cos = cos + self._add(own[fine], self.start[rest[fine]], self.length[rest[fine]])
+                cos[~np.repeat(alive, BLOCK)[: len(cos)]] = 0
+            else:
+                cos = cos + self._add(w[strong:], begin[strong:], length[strong:])
+        if not copies:
+            cos[cos >= 1 - 1e-9] = 0
+        fine = np.nonzero(cos > 0)[0]
+        if len(fine) > k:
+            least = np.partition(cos[fine], -k)[-k]
+            fine = fine[cos[fine] >= least - 1e-12]
+        best = np.lexsort((fine, -np.round(cos[fine], 12)))[:k]
+        return fine[best], cos[fine[best]]
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """Logit of the neighbours' votes, each by the inverse of its distance, with one vote for the prior."""
@@ -87,11 +150,11 @@ class Index:
         return float(np.log(p / (1 - p)))
 
     def _curve(self) -> tuple[float, float]:
-        """A logistic curve from leave-one-out votes to labels, by Newton's steps with a weak pull to the identity."""
+        """A logistic curve from leave-one-out votes to labels, by Newton's steps with a weak pull to the identity; no example is judged by its own copies."""
         at = np.arange(0, len(self.ids), max(1, len(self.ids) // 2000))
         if len(at) < 20:
             return 1.0, 0.0
-        x = np.array([self.vote(*self.nearest(*self.vectors[i], NEIGHBOURS, i)) for i in at])
+        x = np.array([self.vote(*self.nearest(*self.vectors[i], NEIGHBOURS, copies=False)) for i in at])
         y, a, b = self.labels[at], 1.0, 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-(a * x + b)))
@@ -102,31 +165,67 @@ class Index:
         return max(a, 0.05), b
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        """Score and the ids of the three nearest examples; without any known term the share of toxic examples without one."""
-        if not len(terms):
-            return self.without, []
-        at, cos = self.nearest(*self.weights(terms, counts), NEIGHBOURS)
+        """Score and the ids of the three nearest examples; without a term in common the share of toxic examples without terms."""
+        at, cos = self.nearest(*self.weights(terms, counts), NEIGHBOURS) if len(terms) else ((), ())
         if not len(at):
-            return self.without, []
-        return 1 / (1 + np.exp(-(self.slope * self.vote(at, cos) + self.bias))), [int(i) for i in self.ids[at[:3]]]
+            return float(self.without), []
+        return float(1 / (1 + np.exp(-(self.slope * self.vote(at, cos) + self.bias)))), [int(i) for i in self.ids[at[:3]]]
 
 
-def _counted(docs: DataFrame, known: dict[str, int] | None) -> DataFrame:
-    """``(doc_id, terms, counts)``: the terms of each text with their counts, or numbers and counts of known ones."""
+class _Places(dict):
+    """The dimension of each word, or -1; remembered for as many words as MEMO."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = term_hash(word)
+        at = int(np.searchsorted(self.vocabulary, h))
+        self[word] = out = at if at < len(self.vocabulary) and self.vocabulary[at] == h else -1
+        return out
+
+
+def _counted(docs: DataFrame, vocabulary=None) -> DataFrame:
+    """``(doc_id, terms, counts)``: hashes of each text's terms, or their dimensions in a broadcast vocabulary, ascending, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if vocabulary is None else _Places(vocabulary.value)
         for b in batches:
             for i in range(0, len(b), 512):
-                part, names, counts = b.slice(i, 512), [], []
+                part, terms, counts = b.slice(i, 512), [], []
                 for t in part.column(1):
-                    words = terms_of(t.as_py())
-                    held = Counter(words if known is None else filter(known.__contains__, words))
-                    names.append(list(held) if known is None else [known[w] for w in held])
-                    counts.append(list(held.values()))
-                kind = pa.string() if known is None else pa.int32()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.list_(kind)), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+                    held = Counter(terms_of(t.as_py()))
+                    at = np.fromiter(map(term_hash if known is None else known.__getitem__, held), np.int64, len(held))
+                    n, order = np.fromiter(held.values(), np.int32, len(held)), np.argsort(at)
+                    if known is not None:
+                        order = order[at[order] >= 0]
+                    terms.append(at[order])
+                    counts.append(n[order])
+                offsets = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
+                lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)))
+                kind = np.int64 if known is None else np.int32
+                yield pa.RecordBatch.from_arrays([part.column(0), lists([t.astype(kind) for t in terms]), lists(counts)], ["doc_id", "terms", "counts"])
+
+    return docs.mapInArrow(run, f"doc_id long, terms array<{'long' if vocabulary is None else 'int'}>, counts array<int>")
 
-    return docs.mapInArrow(run, f"doc_id long, terms array<{'string' if known is None else 'int'}>, counts array<int>")
+
+def _frequencies(slim: DataFrame, size: int) -> np.ndarray:
+    """In how many rows of ``slim (terms)`` each dimension occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["t", "n"])
+
+    out = np.zeros(size, np.int64)
+    if size:
+        found = slim.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the examples have terms
+        out[found["t"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def held_out(doc_id) -> F.Column:
@@ -141,11 +240,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out and whose id has a text: of those, ``examples`` at most, picked by a
     hash of the id.  An id that is labelled twice is toxic if one label says so;
     null ids and null labels teach nothing; of several texts of an id the
-    smallest is taken.  Only texts are scored: null and empty ones, and texts
-    without any known term, get the rate of toxic examples without one.
-    ``evidence``: ids of the nearest examples.  Without any example every score
-    is 0.5 times the prior of 0.5, below 0.5; repeated rows stay; empty tables
-    give no rows; other columns are ignored.
+    smallest is taken.  Only texts are scored, whole: null and empty ones, and texts
+    that share no term with an example, get the rate of toxic examples without
+    terms, drawn to the prior.  ``evidence``: ids of the nearest examples, ties to
+    the one placed first.  Without any example every score is 0.25; repeated rows
+    stay and score alike; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -153,60 +252,38 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own = own.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
     texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    taught = written(_counted(texts, None), "examples").join(F.broadcast(sample), "doc_id")
-
-    rows, bad = taught.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    good = rows - bad
-    per = taught.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    n, k = F.col("n"), F.col("k")
-    share_bad, share_good = bad / max(rows, 1), good / max(rows, 1)
-    g2 = 2 * (part(k, n * share_bad) + part(n - k, n * share_good) + part(bad - k, (rows - n) * share_bad) + part(good - n + k, (rows - n) * share_good))
-    chosen = per.withColumn("g2", g2).where((F.col("g2") >= EVIDENCE) & (k >= ODDS * n * share_bad)).orderBy(F.desc("g2"), "term").limit(TERMS)
-    known = {r["term"]: i for i, r in enumerate(chosen.select("term").collect())} if 0 < bad < rows else {}
-
-    # All documents: numbers and counts of the known terms, read from the texts once.
-    slim = written(_counted(docs, known), "terms")
-    total = slim.count()
-    df = np.zeros(len(known))
-    for term, count in slim.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # TERMS at most
-        df[term] = count
-    idf = np.log((1 + total) / (1 + df)) + 1
-    vectors = {r["doc_id"]: r for r in taught.select("doc_id", "toxic", "terms", "counts").transform(lambda d: _known_only(d, known)).toLocalIterator()}  # EXAMPLES at most
-    ids = np.array(sorted(vectors), np.int64)
-    index = Index(
-        ids, np.array([vectors[i]["toxic"] for i in ids], np.int64), [(np.array(vectors[i]["terms"], np.int64), np.array(vectors[i]["counts"], float)) for i in ids], idf
-    )
-    shared = spark.sparkContext.broadcast(index)
+    taught = written(_counted(texts), "examples").join(F.broadcast(sample), "doc_id")
+    rows = taught.select("doc_id", "toxic", "terms", "counts").toArrow().sort_by("doc_id")  # EXAMPLES at most
+    ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int64)
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+    sizes = np.array([len(t) for t in rows["terms"]], np.int64)
+    vocabulary, place = np.unique(flat("terms") if len(ids) else np.empty(0, np.int64), return_inverse=True)
+    counts = flat("counts").astype(float) if len(ids) else np.empty(0)
+    of = np.repeat(np.arange(len(ids)), sizes)
+    n = np.bincount(place, minlength=len(vocabulary)).astype(float)
+    k = np.bincount(place, toxic[of].astype(float), len(vocabulary))
+
+    # All documents: dimensions and counts of their terms, read from the texts once.
+    slim = written(_counted(docs, spark.sparkContext.broadcast(vocabulary)), "terms")
+    idf = np.log((1 + slim.count()) / (1 + _frequencies(slim, len(vocabulary)))) + 1
+    ends = np.cumsum(sizes)
+    vectors = [(place[e - s : e], counts[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())]
+    shared = spark.sparkContext.broadcast(Index(ids, toxic, vectors, idf * relevance(n, k, len(ids), int(toxic.sum()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, memo = shared.value, {}
         for b in batches:
             scores, near = [], []
-            for terms, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key = tuple(sorted(zip(terms, counts)))
+            for terms, counts in zip(b.column(1), b.column(2)):
+                t, c = terms.values.to_numpy(), counts.values.to_numpy()
+                key = xxhash.xxh3_128_digest(t.tobytes() + c.tobytes())
                 if key not in memo:
                     if len(memo) > 100_000:
                         memo.clear()
-                    memo[key] = index.score(np.array([t for t, _ in key], np.int64), np.array([c for _, c in key], float))
-                scores.append(float(memo[key][0]))
+                    memo[key] = index.score(t.astype(np.int64), c.astype(float))
+                scores.append(memo[key][0])
                 near.append(memo[key][1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     scored = slim.mapInArrow(run, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
-
-
-def _known_only(taught: DataFrame, known: dict[str, int]) -> DataFrame:
-    """The examples with numbers of known terms only, so that what reaches the driver is bounded by examples and terms."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            terms, counts = [], []
-            for t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                pairs = [(known[w], n) for w, n in zip(t, c) if w in known]
-                terms.append([p for p, _ in pairs])
-                counts.append([n for _, n in pairs])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    return taught.mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>")

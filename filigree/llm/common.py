@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """A path of Spark's as a URI with an authority, as other readers ask for: ``file:/a`` and ``/a`` become ``file:///a``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    scheme, rest = whole.split(":", 1)
+    return whole if rest.startswith("//") else f"{scheme}://{rest}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of executors and the plan starts anew here."""
     shared_dir(df.sparkSession)
@@ -48,6 +56,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than ``most`` rows, counted; else left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_share: int = 1000) -> DataFrame:
     """``rows`` left-joined to ``table`` (one row per ``key``), safe where a few keys hold most rows.
 

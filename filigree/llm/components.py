@@ -1,8 +1,9 @@
 """Connected components of a graph given as a DataFrame of links.
 
 Alternating large-star and small-star steps (Kiveris et al. 2014): every step
-is a group-by and a join on vertices, no vertex's neighbours are ever gathered
-in one place, and only one count and one checksum reach the driver per round.
+is a group-by, which adds up before it deals, and a lookup by vertex that spares
+vertices with many links the shuffle, so no vertex's neighbours are gathered in
+one place; only counts, a checksum and the few such vertices reach the driver per round.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links")).select("u", F.least("u", "m").alias("m"), "links"))
+    return lookup(both, least, "u", "links").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links")))
+    moved = lookup(down, least, "u", "links").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -51,15 +51,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp long)``: one row per row of ``docs``; a null text counts as empty. Other columns are ignored."""
+    """``(doc_id, text_hash long, fp long)``: one row per row of ``docs``; a null text counts as empty. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(id_col, F.xxhash64(F.col(text_col)).alias("_text_hash"), text_col).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -126,6 +126,21 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return out.unionByName(dense)
 
 
+def _grouped(own: DataFrame, links_of) -> DataFrame:
+    """``own (doc_id, fp, ...)`` with ``component_id`` and ``root``, the fingerprint that stands for the component."""
+    own = cut(own)
+    each = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    rooted = components(links_of(each.select("fp")))
+    moved = cut(each.join(rooted.withColumnRenamed("u", "fp"), "fp").select("fp", "rep", "rows", "root"))
+    ids = moved.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("members"))
+    ids = ids.join(each.select(F.col("fp").alias("root"), "rep"), "root")
+    ids = cut(ids.select("root", F.least("least", "rep").alias("component_id"), "members"))
+    linked = lookup(moved, ids, "root", "members").select("fp", "root", "component_id", "rows")
+    roots = each.join(ids.select(F.col("root").alias("fp"), "component_id"), "fp", "left").join(moved.select("fp"), "fp", "left_anti")
+    table = linked.unionByName(roots.select("fp", F.col("fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"), "rows"))
+    return lookup(own, cut(table), "fp", "rows")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """``(doc_id, fp long, component_id)`` for every row of ``docs``.
 
@@ -135,28 +150,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component's id unless all ids of the component are null; repeated rows stay
     repeated; no rows give no rows; other columns are ignored.
     """
-    own = cut(fingerprints(docs, id_col, text_col, shingle))
-    each = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
-    rooted = components(links(each.select("fp"), radius))
-    at = cut(each.join(rooted.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    grown = at.where("root <> fp").select("root").distinct()
-    ids = at.join(grown, "root", "left_semi").groupBy("root").agg(F.min("rep").alias("component_id"))
-    table = at.join(ids, "root", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "rows")
-    return lookup(own, cut(table), "fp", "rows").select("doc_id", "fp", "component_id")
+    own = fingerprints(docs, id_col, text_col, shingle).drop("text_hash")
+    return _grouped(own, lambda fps: links(fps, radius)).select("doc_id", "fp", "component_id")
+
+
+def _one_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row per root of ``found (doc_id, text_hash, root)``: smallest id, then text hash."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m"))
+    first = cut(first.select("m.doc_id", "m.text_hash"))
+    at = F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("k.text_hash"))
+    kept = docs.alias("d").join(first.alias("k"), at, "left_semi")
+    again = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").alias("a")
+    both = F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.text_hash") == F.col("a.text_hash"))
+    again = cut(first.alias("f").join(again, both, "left_semi"))
+    if again.isEmpty():
+        return kept
+    rest = kept.alias("d").join(again.alias("k"), at, "left_anti")
+    return rest.unionByName(kept.alias("d").join(again.alias("k"), at, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id.
+    """``docs`` with one row of each component: the one with the smallest id, of equal ids that with the smallest text hash.
 
     Rows that share id and text count as one; rows without words have fingerprint 0.
-    All columns come back unchanged.
+    All columns come back unchanged; an empty table stays empty.
     """
-    found = simhash_components(docs, id_col, text_col, shingle, radius)
-    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows")))
-    on = lambda ids: F.col(f"d.{id_col}").eqNullSafe(F.col("k.doc_id"))
-    kept = docs.alias("d").join(first.hint("shuffle_hash").alias("k"), on(first), "left_semi")
-    again = first.where("rows > 1")
-    if again.isEmpty():
-        return kept
-    rest = kept.alias("d").join(again.alias("k"), on(again), "left_anti")
-    return rest.unionByName(kept.alias("d").join(again.alias("k"), on(again), "left_semi").dropDuplicates([id_col, text_col]))
+    found = _grouped(fingerprints(docs, id_col, text_col, shingle), lambda fps: links(fps, radius))
+    return _one_each(docs, cut(found.select("doc_id", "text_hash", "root")), id_col, text_col)

@@ -66,12 +66,15 @@ def mix(
     ``taken``: words that the mix takes of the row, repeats counted; per source
     they add up to the target rounded to a whole word, so the last row taken may
     be taken in part.  A null text has size 0 and nothing is taken of it; rows
-    with a null source are a source of their own; equal ids and whole rows
-    repeat in the result, and their order among each other does not matter; no
-    rows give no rows; other columns are ignored.  Reruns agree: the key is a
-    hash of id and seed.
+    with a null source are a source of their own; rows without an id are dealt
+    by their text; equal ids and whole rows repeat in the result, and their
+    order among each other does not matter; no rows give no rows; other columns
+    are ignored.  Reruns agree: the key is a hash of id and seed.  ``targets``
+    keeps a row per source and numbers them in one task: sources are thousands
+    at most.
     """
-    key = F.md5(F.concat_ws("#", F.col(id_col).cast("string"), F.lit(str(seed))))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("?"), F.xxhash64(F.col(text_col)).cast("string")))
+    key = F.md5(F.concat_ws("#", name, F.lit(str(seed))))
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
     sizes = cut(sizes)
     plan = cut(targets(sizes, weights, max_epochs))
@@ -96,9 +99,13 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataF
     """``docs`` with each row as often as the mix takes of it, a row taken in part counted whole.
 
     ``mixed``: the result of ``mix(docs)``.  Where an id has several rows they
-    share what is taken of the id in proportion, rounded up.
+    share what is taken of the id in proportion, rounded up; null ids are one
+    id.  Rows without words are never taken, so null and empty texts go; columns
+    come back unchanged whatever their names; no rows give no rows.
     """
     per = mixed.groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
     times = per.where("_t > 0").select(F.col("doc_id").alias("_id"), F.ceil(F.col("_t") / F.col("_s")).cast("int").alias("_times"))
-    held = docs.alias("d").join(times.hint("shuffle_hash"), F.col(f"d.{id_col}").eqNullSafe(F.col("_id")))
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select([f"d.{c}" for c in docs.columns])
+    held = docs.alias("d").join(times.alias("t"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("t._id")))
+    own = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
+    copies = held.select(own.alias("d"), F.explode(F.sequence(F.lit(1), F.col("t._times"))))
+    return copies.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])

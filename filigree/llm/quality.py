@@ -3,7 +3,8 @@
 The model is one of characters, ORDER of them at a time: its types are far fewer than
 those of words, which keeps the tables that documents are joined with small
 against the text.  A gram is one 64-bit integer, 16 bits a character, so keys
-are exact and a context is a shift.
+are exact for those; all characters beyond 16 bits count as one and the same.  A
+context is a shift.
 
 1. One pass counts the grams of all documents, and apart those of trusted text.
 2. Counts and continuation counts of the trusted grams, and every gram's
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import WORD, cut, small, written
 
 ORDER = 4
 #: Grams in the table that all tasks hold; grams counted in a task before it passes them on; characters and rows handled at once.
@@ -80,7 +81,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def flagged(rows: DataFrame, good: DataFrame) -> DataFrame:
     """``rows`` with ``trusted``: whether ``good (doc_id)`` has their id. Rows without an id stay where they are."""
-    mark = good.withColumn("trusted", F.lit(True)).hint("shuffle_hash")
+    mark = good.withColumn("trusted", F.lit(True))
     known = rows.where("doc_id is not null").join(mark, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     return known.unionByName(rows.where("doc_id is null").withColumn("trusted", F.lit(False)))
 
@@ -207,7 +208,7 @@ class Hot:
 
 
 def perplexities(docs: DataFrame, model: DataFrame, hot_size: int = HOT) -> DataFrame:
-    """``docs (doc_id, lang, text, text_hash)`` as ``(row_id, doc_id, lang, text_hash, n, logp)``, texts given up.
+    """``docs (doc_id, lang, text, text_hash, some)`` as ``(row_id, doc_id, lang, text_hash, some, n, logp)``, texts given up.
 
     ``n``: characters and the end; ``logp``: the text's log-probability.
     """
@@ -234,9 +235,9 @@ def perplexities(docs: DataFrame, model: DataFrame, hot_size: int = HOT) -> Data
                     part = b.slice(i, j - i)
                     ids = pa.array(done + np.arange(j - i))
                     done += j - i
-                    yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(1), part.column(3), pa.array(lengths), pa.array(sums), left], ["row_id", "doc_id", "lang", "text_hash", "n", "logp", "rare"])
+                    yield pa.RecordBatch.from_arrays([ids, part.column(0), part.column(1), part.column(3), part.column(4), pa.array(lengths), pa.array(sums), left], ["row_id", "doc_id", "lang", "text_hash", "some", "n", "logp", "rare"])
 
-    first = written(docs.select("doc_id", "lang", "text", "text_hash").mapInArrow(run, "row_id long, doc_id long, lang string, text_hash long, n long, logp double, rare array<long>"), "scores")
+    first = written(docs.select("doc_id", "lang", "text", "text_hash", "some").mapInArrow(run, "row_id long, doc_id long, lang string, text_hash long, some boolean, n long, logp double, rare array<long>"), "scores")
     rare = first.select("row_id", F.explode("rare").alias("gram")).groupBy("row_id", "gram").agg(F.count("*").alias("k"))
     added = rare.join(model.select("gram", F.col("logp").alias("lp")), "gram").groupBy("row_id").agg(F.sum(F.col("k") * F.col("lp")).alias("more"))
     out = first.drop("rare").join(added, "row_id", "left")
@@ -267,7 +268,7 @@ def score_quality(
     repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     text = F.col(text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_hash"), F.coalesce(text.rlike(WORD), F.lit(False)).alias("some"))
     good = cut(trusted_ids(labels))
     model = cut(probabilities(cut(count_grams(flagged(packed(docs), good)))))
     scored = perplexities(docs, model, hot_size).withColumn("ppl", F.exp(-F.col("logp") / F.col("n"))).withColumn("band", F.floor(F.log2("n")).cast("int"))
@@ -279,15 +280,19 @@ def score_quality(
     by_lang = teach.groupBy(name).agg(both, F.count("*").alias("m")).where(F.col("m") >= least).select("_lang", F.col("q").alias("q2"))
     overall = teach.agg(both).first()["q"]
     limits = F.coalesce("q1", "q2", F.array(*map(F.lit, overall)) if overall else F.lit(None).cast("array<double>"))
-    out = scored.withColumn("_lang", name).join(by_band, ["_lang", "band"], "left").join(by_lang, "_lang", "left").withColumn("q", limits)
+    out = scored.withColumn("_lang", name).join(small(cut(by_band)), ["_lang", "band"], "left").join(small(cut(by_lang)), "_lang", "left").withColumn("q", limits)
     wide = slack * F.exp(2 / F.sqrt("n"))
     lower, upper = F.col("q")[0] / wide, F.col("q")[1] * wide
-    keep = (F.col("n") > 1) & F.coalesce(F.col("ppl").between(lower, upper), F.lit(True))
+    keep = F.col("some") & F.coalesce(F.col("ppl").between(lower, upper), F.lit(True))
     return out.select("doc_id", "text_hash", "lang", (F.col("n") - 1).alias("n_chars"), F.col("ppl").alias("perplexity"), lower.alias("low"), upper.alias("high"), keep.alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``score_quality`` keeps; all columns unchanged."""
-    good = score_quality(docs, labels, id_col, text_col, **options).where("keep").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    return docs.join(good.hint("shuffle_hash"), on, "left_semi")
+    """The rows of ``docs`` that ``score_quality`` keeps; all columns unchanged, whatever their names.
+
+    Rows with the same id and text go together; null ids, null and empty texts
+    and empty tables as there.
+    """
+    good = score_quality(docs, labels, id_col, text_col, **options).where("keep").select("doc_id", "text_hash").distinct()
+    on = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("k.text_hash"))
+    return docs.alias("d").join(good.alias("k"), on, "left_semi")

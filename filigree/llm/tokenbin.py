@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, written
+from .common import cut, new_path, uri, written
 
 MAGIC = b"FGTOK001"
 LEVEL = 1
@@ -39,16 +39,29 @@ LEVEL = 1
 SHARD_DOCS, SAMPLE_DOCS, DICT_BYTES, MEMO, LONGEST = 4096, 1024, 1 << 16, 100_000, 48
 #: Marks that a tokenizer sets apart from the letter or digit before them, and plain lower-case letters.
 MARKED = r"([a-z0-9])([.,;:?!])([\x20\x09-\x0D]|\z)"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
 #: Bytes of text handled at once.
 TEXT = 2_000_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4")])
 
 
+def looks_at_words_alone(spec: dict) -> bool:
+    """Whether a tokenizer's description is of the one kind that ``Encoder`` cuts texts for: lower case, words and marks apart, white space dropped."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in cuts] != ["Split", "ByteLevel"]:
+        return False
+    space = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    split = cuts[0]["pattern"] == {"Regex": SPLIT} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+    plain = not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    return space and split and plain and not spec.get("post_processor") and all("<|" in t["content"] for t in spec.get("added_tokens") or [])
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that lower-cases and never looks across ASCII white space.
+    """Ids of whole texts, fast for a tokenizer that lower-cases and never looks across ASCII white space.
 
-    Such a tokenizer gives a text the ids of its white-space-separated chunks one after another, and a chunk that ends
+    Any other tokenizer encodes texts whole, ``looks_at_words_alone`` tells.  The one named gives a text the ids of its white-space-separated chunks one after another, and a chunk that ends
     in one mark after an ASCII letter or digit those of the two parts.  Ids of short chunks are remembered in two
     generations, so that frequent ones stay.  Texts that may hold the tokenizer's own special tokens are encoded whole.
     """
@@ -60,6 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
+        self.apart = looks_at_words_alone(json.loads(self.tokenizer.to_str()))
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         most = max(vocabulary.values())
@@ -129,6 +143,10 @@ class Encoder:
             first, done = last, int(ends[last - 1])
 
     def _raw(self, texts: pa.Array) -> Iterator[bytes]:
+        if not self.apart:
+            for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes()
+            return
         apart = pc.replace_substring_regex(pc.ascii_lower(texts), MARKED, r"\1 \2\3")
         split = pc.ascii_split_whitespace(apart)
         coded = split.values.dictionary_encode()
@@ -169,6 +187,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
     about SAMPLE_DOCS documents picked by a hash of their id.
     """
     spark = docs.sparkSession
+    out_dir = uri(spark, out_dir)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.count()
     every = max(1, total // SAMPLE_DOCS)
@@ -205,7 +224,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
             if not len(b):
                 continue
             if out is None:
-                out = fs.open_output_stream(own)
+                out = fs.open_output_stream(own)  # what a lost executor leaves of it is deleted below
                 head = json.dumps({"ids": kind, "dictionary": digest, "end": end_id}).encode()
                 out.write(MAGIC + struct.pack("<I", len(head)) + head)
                 at = len(MAGIC) + 4 + len(head)
@@ -231,6 +250,10 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
     order = [F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("frame")]
     dealt = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     made = cut(dealt.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"))
+    for left in fs.get_file_info(FileSelector(root)):  # of attempts that failed or came second
+        if left.base_name.startswith("_attempt-"):
+            fs.delete_file(left.path)
+    # One row per shard of shard_docs documents, numbered in one task: 250 million rows for a million million documents.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -262,7 +285,12 @@ class Shard:
 
 
 def read_shards(manifest: DataFrame, out_dir: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files: place and checksum of its ids."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files: place and checksum of its ids.
+
+    ``manifest``: what ``write_shards`` returned.  Rows without an id come back with a null one, repeated rows repeat; no shards give no rows;
+    a file that is cut short or changed raises an error.
+    """
+    out_dir = uri(manifest.sparkSession, out_dir)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = FileSystem.from_uri(out_dir)
@@ -283,8 +311,10 @@ def read_shards(manifest: DataFrame, out_dir: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes ``docs`` as shards and reads them back: see ``write_shards`` and ``read_shards``."""
+    """Writes ``docs`` as shards and reads them back: see ``write_shards`` and ``read_shards``, also for odd rows.
+
+    Without ``out_dir`` the files lie in the shared folder until the driver ends.
+    """
     spark: SparkSession = docs.sparkSession
     out_dir = out_dir or new_path(spark, "tokens")
-    out_dir = out_dir if "://" in out_dir else f"file://{out_dir}"
     return read_shards(write_shards(docs, out_dir, tokenizer, end_id, id_col, text_col), out_dir)

@@ -3,13 +3,16 @@
 A unit is a line, a paragraph, a sentence or a clause.  Units are normalised
 (lower case, words only) and hashed, digests are grouped over all documents, and
 every occurrence but the one that ranks first, by document id and place, is a
-repeat.  Runs of consecutive repeats of at least ``min_words`` words are what is
-removed, given by their offsets in the original text.
+repeat.  Repeats are what is removed, given by their offsets in the original text;
+consecutive ones form a run.  ``repeats`` takes lines unless told otherwise.
 
 Passages are often spliced into the middle of a line, where hashed lines would
-not find them, so ``repeats`` takes clauses: at most a clause at either end of a
-passage then escapes.  ``passages`` misses nothing: it compares every window of
-``min_words`` words, wherever it begins, and every line.
+not find them.  ``passages`` misses nothing: besides every line it compares every
+window of ``min_words`` words, wherever it begins.
+
+Digests have 64 bits.  Among 10^9 different units one pair in 37 tables of that
+size would be taken for equal by chance; where that matters, a corpus of more units is
+to be compared by parts of its digests, or the cuts checked against the texts.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ GRAM = 16
 _IN_WORD = np.array([chr(c).isalnum() for c in range(128)])
 
 
-def units_of(text: str | None, unit: str = "clause") -> list[tuple[int, int, int, int]]:
+def units_of(text: str | None, unit: str = "line") -> list[tuple[int, int, int, int]]:
     """``(start, end, words, digest)`` of every unit that holds a word."""
     out = []
     for m in re.finditer(UNITS[unit], text or ""):
@@ -89,12 +92,13 @@ def _later(every: DataFrame) -> DataFrame:
     return again.where(~rank.eqNullSafe(F.col("_first")))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "clause", min_words: int = 35) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 1) -> DataFrame:
     """``(doc_id, text_hash, start, end, n_words, n_units, first_doc_id)``: the passages to remove.
 
     ``start`` and ``end`` are character offsets in the original text;
     ``first_doc_id`` is a document that keeps an earlier occurrence of the
-    passage's first unit.  Occurrences rank by id (null first), then text hash,
+    passage's first unit.  Every later copy of a unit is given; ``min_words``
+    leaves out runs of fewer words, if wanted.  Occurrences rank by id (null first), then text hash,
     then place.  A text is kept whole within a run: gaps between its units are
     removed with it.  Null or empty texts have no units; rows that repeat id and
     text count as one document; an empty table gives no rows; other columns are
@@ -272,25 +276,40 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return written(found.select(*out), "passages").unionByName(copies.select(*out))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "clause", min_words: int = 35) -> DataFrame:
-    """``docs`` with the passages of ``repeats`` cut out of their texts; every row and all other columns stay."""
-    spans = repeats(docs, id_col, text_col, unit, min_words)
-    cuts = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    per = cuts.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_cuts"))).alias("_cuts"))
-    held = docs.join(per.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 1, spans: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the passages of ``repeats``, or the given ``spans`` of ``passages``, cut out of their texts.
+
+    Every row and all other columns stay, whatever their names; a text that
+    repeats as a whole becomes empty.  Spans are joined by id and text hash, so
+    rows that share an id, or have none, are cut each by its own text; rows that
+    share both are one document and keep the same text.  Null and empty texts
+    stay as they are; an empty table stays empty.
+    """
+    spans = repeats(docs, id_col, text_col, unit, min_words) if spans is None else spans
+    cuts = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(width)])
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), AT_ONCE):
+                part = b.slice(i, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*part.columns, _key_of(part.column(at).to_pylist())], [*(f"c{k}" for k in range(width)), "key"])
 
-    names, at = docs.columns, docs.columns.index(text_col)
+    own = F.col(f"d.c{docs.columns.index(id_col)}").cast("long")
+    held = plain.mapInArrow(keyed, f"{kinds}, key long").alias("d")
+    held = held.join(cuts.alias("k"), own.eqNullSafe(F.col("k.doc_id")) & (F.col("d.key") == F.col("k.text_hash")), "left").select("d.*", "k.cuts").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, known in enumerate(b.column(len(names)).to_pylist()):
+            for i, known in enumerate(b.column(width).to_pylist()):
                 if known:
-                    key = int(np.uint64(xxhash.xxh3_64_intdigest(texts[i] or "")).astype(np.int64))
-                    for span in reversed(dict(known).get(key, [])):
-                        texts[i] = texts[i][: span["start"]] + texts[i][span["end"] :]
-            columns = [b.column(k) for k in range(len(names))]
+                    ends = [0, *(c["end"] for c in known)]
+                    texts[i] = "".join(texts[i][e:s] for e, s in zip(ends, [*(c["start"] for c in known), len(texts[i])]))
+            columns = [b.column(k) for k in range(width)]
             columns[at] = pa.array(texts, b.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(width)])
 
-    return held.mapInArrow(run, docs.schema)
+    return held.mapInArrow(run, kinds).toDF(*docs.columns)

@@ -57,6 +57,30 @@ def test_odd_vectors_blocks_and_ties(spark, monkeypatch, lists, probes):
         assert np.allclose([d for _, d in mine[q]], [d for _, d in want[q]], atol=1e-12)
 
 
+def test_bounds_choose_few_rows_of_the_larger_table(spark):
+    """sf0.1, all rows against 100 queries: recall, and the share of the rows that is measured on the vectors."""
+    e = queries.table(spark, "/root/testdata/sf0.1", "embeddings").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in e]), np.array([r["embedding"] for r in e], float)
+    turn, centre = ann.rotation(256, 11), x.mean(0)
+    codes, length, own = ann.encode(x - centre, turn)
+    picked = np.arange(0, len(ids), 20)
+    q, i, d, n = ann.cell_search(ids, x, codes, length, own, ids[picked], x[picked], centre, turn, 10, 1.9)
+    want = brute(ids, x, ids[picked])
+    hit = sum(any(v == b for v, _ in want[a]) for a, b in zip(q, i))
+    assert hit / (10 * len(picked)) >= 0.9
+    share = n[::10].mean() / len(ids)
+    print("recall", hit / (10 * len(picked)), "reranked", share)
+    assert share < 0.1
+    # The estimate from packed bits is the inner product of the code itself, up to the query's steps.
+    words, signs = ann.words_of(codes), np.unpackbits(codes, axis=1) * 2.0 - 1
+    asked = ann.Asked(x[:3] - centre, turn)
+    for j in range(3):
+        guess, slack = ann.estimate(words, length, own, asked, j, 256, 1.9)
+        inner = signs @ ((x[j] - centre) @ turn[:64]) / 16 / own
+        exact = length**2 + length[j] ** 2 - 2 * length * inner
+        assert np.abs(guess - exact).max() < 0.12 and (slack >= 0).all()
+
+
 def test_few_and_no_rows(spark):
     kind = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0])], kind)

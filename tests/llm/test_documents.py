@@ -31,12 +31,13 @@ def words(rng, n, vocabulary=400):
 
 def plain_contained(rows, items, n=5, threshold=0.8):
     cut = lambda t: re.findall(decontam.WORD, (t or "").lower())
-    sh = lambda t: {tuple(w[i : i + n]) for w in [cut(t)] for i in range(len(w) - n + 1)}
+    sh = lambda t, n: {tuple(w[i : i + n]) for w in [cut(t)] for i in range(len(w) - n + 1)}
+    sets = [(i, m, sh(u, m)) for i, u in items if (m := min(n, len(cut(u))))]  # short items are one shingle of all their words
     out = []
     for d, t in rows:
-        own = sh(t)
-        for i, u in items:
-            s = sh(u)
+        all_own = {m: sh(t, m) for m in {m for _, m, _ in sets}}
+        for i, m, s in sets:
+            own = all_own[m]
             if s and len(s & own) >= threshold * len(s) - 1e-9:
                 out.append(str((d, i, len(s), len(s & own))))
     return sorted(out)
@@ -45,8 +46,8 @@ def plain_contained(rows, items, n=5, threshold=0.8):
 def test_contained_items(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 60)
     rng = random.Random(2)
-    items = [(i, words(rng, rng.randint(3, 45))) for i in range(25)] + [(None, words(rng, 20)), (7, None), (8, ""), (9, "A, b! c? D; e")]
-    rows = [(1, None), (2, ""), (None, "x " + items[0][1]), (3, "a B C d E"), (3, "a B C d E"), (4, words(rng, 30000) + " " + (items[25][1]).upper() + ". " + words(rng, 100))]
+    items = [(i, words(rng, rng.randint(3, 45))) for i in range(25)] + [(None, words(rng, 20)), (7, None), (8, ""), (9, "A, b! c? D; e"), (11, "Two words"), (12, "?!")]
+    rows = [(1, None), (2, ""), (None, "x " + items[0][1]), (3, "a B C d E"), (3, "a B C d E"), (5, "one, TWO; words"), (4, words(rng, 30000) + " " + (items[25][1]).upper() + ". " + words(rng, 100))]
     for d in range(10, 60):
         own = items[rng.randrange(25)][1].split()
         for _ in range(rng.randint(0, 2)):

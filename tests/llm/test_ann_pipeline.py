@@ -94,7 +94,7 @@ def test_pipeline_stages(spark):
     """Each stage's decisions hold in what it returns, judged by brute force on its own input."""
     import corpus_pipeline as P
     from test_documents import plain_contained
-    from test_simhash_components import plain_components, plain_fingerprint
+    from test_simhash_components import plain_similar_groups
 
     assert [n for n, _ in P.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
     docs = queries.table(spark, SF, "documents")
@@ -105,9 +105,7 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns or i == 4
     ids = [sorted(r["doc_id"] for r in rows) for rows in made]
     first = made[0]
-    fps = [plain_fingerprint(r["text"]) for r in first]
-    roots = plain_components([r["doc_id"] for r in first], fps)
-    assert ids[1] == sorted({c for c in roots})
+    assert ids[1] == sorted(set(plain_similar_groups([(r["doc_id"], r["text"]) for r in first])))
     items = [(r["item_id"], r["text"]) for r in queries.table(spark, SF, "benchmark").collect()]
     bad = {w.split(",")[0][1:] for w in plain_contained([(r["doc_id"], r["text"]) for r in made[1]], items)}
     assert ids[2] == [d for d in ids[1] if str(d) not in bad] and bad

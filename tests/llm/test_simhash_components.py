@@ -128,6 +128,88 @@ def test_empty_table_and_clashing_columns(spark):
     assert simhash.keep_one(clash).select(F.max("rows")).first()[0] == 7
 
 
+def plain_similar_groups(rows, similarity=0.8, recall=0.95):
+    """For each row the smallest id of its group, from the complete distances of all pairs of long fingerprints."""
+    wide = simhash.Wide.of(len(rows), similarity, recall)
+    bits = np.array([simhash.wide_fingerprint(t, 5, wide, simhash._Hashes()) for _, t in rows])
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in np.nonzero((bits[:i] != bits[i]).sum(1) <= wide.radius)[0]:
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(find(i), []).append(d)
+    return [min((d for d in least[find(i)] if d is not None), default=None) for i in range(len(rows))]
+
+
+def test_bit_counts():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 254, 255, 256, 511, 5000):
+        rows = rng.integers(0, 256, (n, 8), dtype=np.uint8)
+        rows[: n // 2] = 255
+        assert (simhash.bit_counts(rows) == np.unpackbits(rows, axis=1).sum(0)).all()
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_similar_texts_keep_one(spark, monkeypatch, crowded):
+    """Texts with a few words changed go, others stay; groups of many differing texts too, by the grid of blocks."""
+    if crowded:
+        monkeypatch.setattr(simhash, "SMALL", 3)
+        monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(7)
+    word = lambda: "w%d" % rng.randrange(3000)
+    rows = [(1000, None), (1001, ""), (None, "only this one"), (None, "only that one"), (1002, "two words"), (1003, "Two words"), (1004, "two  words")]
+    for g in range(12):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        for k in range(12 if g < 2 else 3):
+            own = list(base)
+            for at in rng.sample(range(len(own)), k % 3):
+                own[at] = word()
+            rows.append((10 * len(rows), " ".join(own)))
+    rows += [(5, rows[20][1]), (5, rows[20][1]), (6, " ".join(word() for _ in range(60000)))]
+    out = simhash.keep_similar_one(frame(spark, [(d, t, "en", None, None) for d, t in rows]))
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    groups = plain_similar_groups(rows)
+    want = {g for g in groups if g is not None}
+    assert len(got) == len(set(got)) and {d for d, _ in got if d is not None} == want
+    assert sorted(t for d, t in got if d is None) == ["only that one", "only this one"]
+    assert {5, 6, 1000, 1002} <= want and not {1001, 1003, 1004} & want and len(want) < 25
+    assert simhash.keep_similar_one(frame(spark, [])).count() == 0
+
+
+def test_recall_of_similar_pairs(spark):
+    """Of the pairs of sf0.01 at a Jaccard similarity of 0.8 or more in five words, few are left; hardly a text goes that has no near one."""
+    from filigree.llm import queries
+
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {r["doc_id"] for r in simhash.keep_similar_one(docs).select("doc_id").collect()}
+    sets = {}
+    for d, t in rows.items():
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    ids = sorted(rows)
+    best, left, pairs = dict.fromkeys(ids, 0.0), 0, 0
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both:
+                j = both / (len(sets[a]) + len(sets[b]) - both)
+                best[a], best[b] = max(best[a], j), max(best[b], j)
+                pairs += j >= 0.8
+                left += j >= 0.8 and a in kept and b in kept
+    gone = [best[d] for d in ids if d not in kept]
+    print("pairs", pairs, "left", left, "gone", len(gone), "gone below 0.7", sum(j < 0.7 for j in gone))
+    assert left <= 0.1 * pairs and sum(j < 0.7 for j in gone) <= 0.1 * len(gone)
+
+
 def test_query_has_the_contracts_columns(spark):
     from filigree.llm import queries
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches, after each of which the worker gives what it has freed back to the system: workers live on between stages."""
+    try:
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        trim = None
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has no more than ``most`` rows, counted; else left to the planner."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

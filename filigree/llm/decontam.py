@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import written
+from .common import trimmed, written
 
 #: Fixed value: a word is a run of letters and digits of ASCII and of anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -153,7 +153,7 @@ def contained_items(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memo, block = _Hashes(), shared.value
-            for b in batches:
+            for b in trimmed(batches):
                 found = [(i, *x) for i, t in enumerate(b.column(1)) for x in block.search(t.as_py(), memo)]
                 rows, items_, n, m, guess = zip(*found) if found else ((), (), (), (), ())
                 ids = b.column(0).take(pa.array(rows, pa.int64()))
@@ -190,7 +190,7 @@ def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memo, block = _Hashes(), shared.value
-            for b in batches:
+            for b in trimmed(batches):
                 clean = [not block.search(t.as_py(), memo) for t in b.column(at)]
                 yield b.filter(pa.array(clean, pa.bool_()))
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small, written
+from .common import WORD, cut, small, trimmed, written
 
 ORDER = 4
 #: Grams in the table that all tasks hold; grams counted in a task before it passes them on; characters and rows handled at once.
@@ -70,7 +70,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in trimmed(batches):
             for at in range(0, len(b), ROWS):
                 part = b.slice(at, ROWS)
                 frames = [pack.compress((t.as_py() or "").encode("utf-8", "replace")) for t in part.column(1)]
@@ -101,7 +101,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["gram", "n", "trusted"])
 
-        for b in batches:
+        for b in trimmed(batches):
             for at in range(0, len(b), ROWS):
                 part = b.slice(at, ROWS)
                 good = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -220,7 +220,7 @@ def perplexities(docs: DataFrame, model: DataFrame, hot_size: int = HOT) -> Data
         hot, done = shared.value, TaskContext.get().partitionId() << 36
         slots = hot.front()
         logp = np.append(hot.logp, 0.0)
-        for whole in batches:
+        for whole in trimmed(batches):
             for first_row in range(0, len(whole), ROWS):
                 b = whole.slice(first_row, ROWS)
                 texts = b.column(2).to_pylist()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, cut, lookup
+from .common import LOWER_TABLE, cut, lookup, trimmed
 from .components import components
 from .decontam import _Hashes, shingle_hashes
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, text_hash long, fp long)``: one row per row of ``docs``; a null text counts as empty. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
@@ -119,8 +119,9 @@ def _asked(filed: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """Probes of ``filed (seg, val, fp, ...)``, its values with one zero of ``bits`` bits set, and the crowded keys ``(seg, val, n, p)``."""
     each = F.array(*[F.lit(1 << k) for k in range(bits)])
     flips = F.transform(F.filter(each, lambda b: F.col("val").bitwiseAND(b) == 0), lambda b: F.col("val").bitwiseOR(b))
-    probes = filed.withColumn("val", F.explode(flips))
     size = filed.groupBy("seg", "val").agg(F.count("*").alias("n"))
+    # Most probes meet nothing; what does is dealt once and kept.
+    probes = cut(filed.withColumn("val", F.explode(flips)).join(size.select("seg", "val"), ["seg", "val"]))
     asked = probes.groupBy("seg", "val").agg(F.count("*").alias("p")).where(F.col("p") > SMALL)
     crowded = size.join(asked, ["seg", "val"], "left").where(f"n > {SMALL} or p is not null")
     return probes, cut(crowded.select("seg", "val", "n", F.coalesce("p", F.lit(0)).alias("p")))
@@ -195,7 +196,7 @@ def wide_fingerprints(docs: DataFrame, wide: Wide, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, scale = _Hashes(), 1 << np.arange(wide.width, dtype=np.int64)
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), 512):
                 part = b.slice(i, 512)
                 bits = np.array([wide_fingerprint(t.as_py(), shingle, wide, memo) for t in part.column(2)], np.uint8).reshape(len(part), 64 * wide.words)

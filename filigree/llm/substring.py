@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, written
+from .common import cut, lookup, trimmed, written
 from .decontam import _Hashes, shingle_hashes, words_of
 
 #: What a unit of each kind looks like.
@@ -57,7 +57,7 @@ def units_of(text: str | None, unit: str = "line") -> list[tuple[int, int, int,
 
 def _units(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), AT_ONCE):
                 part = b.slice(i, AT_ONCE)
                 texts = part.column(1).to_pylist()
@@ -155,7 +155,7 @@ def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), AT_ONCE):
                 part = b.slice(i, AT_ONCE)
                 texts, found = part.column(1).to_pylist(), []
@@ -167,7 +167,6 @@ def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
                 grams = pa.concat_arrays([pa.nulls(len(part), pa.int64()), pa.array(np.concatenate([f[0] for f in found]).view(np.int64))])
                 n = pa.array(np.concatenate([np.zeros(len(part), np.int64), *[f[1] for f in found]]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), _key_of(texts).take(rows), grams, n], ["doc_id", "_key", "_gram", "n"])
-            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "doc_id long, _key long, _gram long, n int")
 
@@ -177,13 +176,12 @@ def _frames(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), AT_ONCE):
                 part = b.slice(i, AT_ONCE)
                 texts = part.column(1).to_pylist()
                 frames = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), _key_of(texts), pa.array(frames, pa.binary())], ["doc_id", "_key", "frame"])
-            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "doc_id long, _key long, frame binary")
 
@@ -196,7 +194,7 @@ def _compared(rows: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, unpack = _Hashes(), zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), 64):
                 part, out, counts = b.slice(i, 64), [], []
                 for frame, grams in zip(part.column(2), part.column(3)):
@@ -219,7 +217,6 @@ def _compared(rows: DataFrame, min_words: int) -> DataFrame:
                     counts.append(out[-1].shape[1])
                 rows_, flat = pa.array(np.repeat(np.arange(len(part)), counts)), np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows_), part.column(1).take(rows_), *map(pa.array, flat)], ["doc_id", "_key", "_at", "_span", "_digest"])
-            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "doc_id long, _key long, _at long, _span long, _digest long")
 
@@ -292,7 +289,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), AT_ONCE):
                 part = b.slice(i, AT_ONCE)
                 yield pa.RecordBatch.from_arrays([*part.columns, _key_of(part.column(at).to_pylist())], [*(f"c{k}" for k in range(width)), "key"])
@@ -302,7 +299,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = held.join(cuts.alias("k"), own.eqNullSafe(F.col("k.doc_id")) & (F.col("d.key") == F.col("k.text_hash")), "left").select("d.*", "k.cuts").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             texts = b.column(at).to_pylist()
             for i, known in enumerate(b.column(width).to_pylist()):
                 if known:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, uri, written
+from .common import cut, new_path, trimmed, uri, written
 
 MAGIC = b"FGTOK001"
 LEVEL = 1
@@ -205,7 +205,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, encoder, pack = np.array([end_id], kind).tobytes(), Encoder.at(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(shared.value), write_checksum=True)
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), 1024):
                 part, frames, counts = b.slice(i, 1024), [], []
                 for ids in encoder.raw(part.column(1)):
@@ -220,7 +220,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, id_
         shard = TaskContext.get().partitionId()
         path, own = f"{root}/shard-{shard:08d}.tok", f"{root}/_attempt-{uuid.uuid4().hex}"
         index, at, out, tokens, count = [], 0, None, 0, 0
-        for b in batches:
+        for b in trimmed(batches):
             if not len(b):
                 continue
             if out is None:
@@ -294,7 +294,7 @@ def read_shards(manifest: DataFrame, out_dir: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = FileSystem.from_uri(out_dir)
-        for b in batches:
+        for b in trimmed(batches):
             for row in b.to_pylist():
                 shard = Shard(fs, row["path"])
                 n = len(shard.index)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import written
+from .common import trimmed, written
 
 #: Pre-tokens of a leaf, characters that a boundary may depend on, pre-tokens that a worker remembers, longest of them.
 LEAF, CONTEXT, MEMO, LONGEST = 64, 8, 400_000, 64
@@ -205,7 +205,7 @@ def build_trees(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.at(vocabulary, pattern)
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), 256):
                 part = b.slice(i, 256)
                 trees = [build(counter, t.as_py()) for t in part.column(1)]
@@ -231,7 +231,7 @@ def edit_trees(trees: DataFrame, vocabulary: str, pattern: str, edits=masks, sta
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.at(vocabulary, pattern)
-        for whole in batches:
+        for whole in trimmed(batches):
             for i in range(0, len(whole), 256):
                 b = whole.slice(i, 256)
                 out, texts, after = np.zeros((len(b), 4), np.int64), [], []

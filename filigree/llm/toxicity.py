@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, trimmed, written
 
 #: Fixed value: a term is a run of letters.
 _TERMS = re.compile(r"[^\W\d_]+").findall
@@ -192,7 +192,7 @@ def _counted(docs: DataFrame, vocabulary=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if vocabulary is None else _Places(vocabulary.value)
-        for b in batches:
+        for b in trimmed(batches):
             for i in range(0, len(b), 512):
                 part, terms, counts = b.slice(i, 512), [], []
                 for t in part.column(1):
@@ -216,7 +216,7 @@ def _frequencies(slim: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
-        for b in batches:
+        for b in trimmed(batches):
             n += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["t", "n"])
@@ -272,7 +272,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, memo = shared.value, {}
-        for b in batches:
+        for b in trimmed(batches):
             scores, near = [], []
             for terms, counts in zip(b.column(1), b.column(2)):
                 t, c = terms.values.to_numpy(), counts.values.to_numpy()

@@ -79,21 +79,24 @@ class Index:
         flat = lambda j, kind: np.concatenate([v[j] for v in self.vectors] or [np.empty(0)]).astype(kind)
         terms, w, at = flat(0, np.int64), flat(1, float), np.repeat(np.arange(len(sizes)), sizes)
         by = np.argsort(terms, kind="stable")
-        terms, self.w, self.at = terms[by], w[by], at[by]
+        terms, self.w, self.at = terms[by], w[by], at[by].astype(np.int32)  # small: every worker holds it
         block = self.at // BLOCK
         new = np.ones(len(terms), bool)
         new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        self.start = np.nonzero(new)[0]
-        self.length = np.diff(np.append(self.start, len(terms)))
-        self.block = block[self.start]
-        self.begin = np.searchsorted(terms, np.arange(len(idf) + 1))
-        self.most = np.maximum.reduceat(self.w, self.start) if len(terms) else np.empty(0)
-        self.first = np.searchsorted(terms[self.start], np.arange(len(idf) + 1))
+        self.start = np.append(np.nonzero(new)[0], len(terms)).astype(np.int32 if len(terms) < 1 << 31 else np.int64)
+        self.block = block[self.start[:-1]].astype(np.int32)
+        starts = self.start[:-1]
+        self.most = np.maximum.reduceat(self.w, starts) if len(terms) else np.empty(0)
+        self.first = np.searchsorted(terms[starts], np.arange(len(idf) + 1)).astype(self.start.dtype)
         self.top = np.zeros(len(idf))
-        np.maximum.at(self.top, terms[self.start], self.most)
+        np.maximum.at(self.top, terms[starts], self.most)
         self.slope, self.bias = 1.0, 0.0
         self.slope, self.bias = self._curve()
 
+    def __getstate__(self) -> dict:
+        """Without the vectors, which only the fit of the curve needs."""
+        return {k: v for k, v in self.__dict__.items() if k != "vectors"}
+
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.linalg.norm(w) if len(w) else w
@@ -115,22 +118,23 @@ class Index:
             return np.empty(0, np.int64), np.empty(0)
         terms, w, left = terms[order], w[order], np.cumsum(impact[order][::-1])[::-1]
         strong = int(np.searchsorted(-left, -left[0] / 4)) or 1  # terms before which more than a quarter may still come
-        begin = self.begin[terms]
-        length = self.begin[terms + 1] - begin
+        begin = self.start[self.first[terms]].astype(np.int64)
+        length = self.start[self.first[terms + 1]] - begin
         cos = self._add(w[:strong], begin[:strong], length[:strong])
         if strong < len(terms):
             kth = np.partition(cos, -k)[-k] if len(cos) >= k and copies else 0.0
             alive = None
             if kth > 0:
                 blocks = -(-len(cos) // BLOCK)
-                n = self.first[terms[strong:] + 1] - self.first[terms[strong:]]
+                n = (self.first[terms[strong:] + 1] - self.first[terms[strong:]]).astype(np.int64)
                 rest, own = _ranges(self.first[terms[strong:]], n), np.repeat(w[strong:], n)
                 more = np.bincount(self.block[rest], own * self.most[rest], blocks)
                 best = np.pad(cos, (0, blocks * BLOCK - len(cos))).reshape(blocks, BLOCK).max(1)
-                alive = best + more >= kth - 1e-12
+                alive = best + more >= kth - 1e-9
             if alive is not None and 2 * alive.sum() < len(alive):
                 fine = alive[self.block[rest]]
-                cos = cos + self._add(own[fine], self.start[rest[fine]], self.length[rest[fine]])
+                begin = self.start[rest[fine]].astype(np.int64)
+                cos = cos + self._add(own[fine], begin, self.start[rest[fine] + 1] - begin)
                 cos[~np.repeat(alive, BLOCK)[: len(cos)]] = 0
             else:
                 cos = cos + self._add(w[strong:], begin[strong:], length[strong:])

@@ -23,23 +23,26 @@ def is_between(a, b, c) -> bool:
 
 
 def ray_crossings(points: np.ndarray, y: np.ndarray, edges: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """For each point, where the ray from ``centre`` through it leaves the cycle's edges; infinity if nowhere."""
+    """For each point, where the line from ``centre`` through it crosses the cycle on the point's side; infinity if nowhere.
+
+    On the point's side is a crossing that is nearer to the point than to the centre; of several, that of the last edge counts.
+    """
     out = np.full((len(points), 2), np.inf)
-    for i, p in enumerate(points):
-        for a, b in edges:
-            at = line_crossing(centre, p, y[a], y[b])
-            if np.isfinite(at[0]) and is_between(y[a], y[b], at) and np.dot(np.subtract(at, centre), p - centre) > 0:
-                out[i] = at
-                break
+    for a, b in edges:
+        at = np.array([line_crossing(centre, p, y[a], y[b]) for p in points]).reshape(-1, 2)
+        met = np.isfinite(at).all(1)
+        side = np.where(met, ((at - points) ** 2).sum(1) < ((at - centre) ** 2).sum(1), False)
+        on = np.array([m and is_between(y[a], y[b], c) for m, c in zip(met, at)], bool)
+        out[side & on] = at[side & on]
     return out
 
 
 def centre_weights(points: np.ndarray, y: np.ndarray, edges: np.ndarray, centre: np.ndarray, threshold: float = 0.2) -> np.ndarray:
-    """1 at the centre falling to 0 at the boundary, and 0 below ``threshold``."""
+    """Falling from the centre to 0 at the boundary; what lies above ``threshold`` counts in full, as 1."""
     at = ray_crossings(points, y, edges, centre)
     far = np.linalg.norm(at - centre, axis=1)
     share = 1 - np.linalg.norm(points - centre, axis=1) / np.where(far > 0, far, np.inf)
-    return np.where(share < threshold, 0.0, np.clip(share, 0, 1))
+    return np.where(share > threshold, 1.0, share)
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -115,13 +118,10 @@ def inset(polygon: np.ndarray, factor: float = 0.10, swell: bool = False) -> np.
 
 def mahalanobis(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """Distance of each row from ``centre`` in units of the rows' covariance (pseudo-inverse where singular)."""
-    cov = np.atleast_2d(np.cov(points, rowvar=False))
-    try:
-        inverse = np.linalg.inv(cov)
-    except np.linalg.LinAlgError:
-        inverse = np.linalg.pinv(cov)
-    d = points - centre
-    return np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", d, inverse, d)))
+    # The rows' own axes and spreads; axes without spread do not count, which is the pseudo-inverse.
+    _, spread, axes = np.linalg.svd((points - points.mean(0)) / np.sqrt(max(1, len(points) - 1)), full_matrices=False)
+    used = spread > 1e-12 * max(spread.max(initial=0), 1e-300)
+    return np.linalg.norm((points - centre) @ axes[used].T / spread[used], axis=1)
 
 
 def remove_crossings(y: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,30 @@ def batch(b: pa.RecordBatch, column: int) -> np.ndarray:
     return b.column(column).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
 
 
-def nearest_node(points: DataFrame, y: np.ndarray, radius: float = np.inf) -> DataFrame:
-    """``(point_id, node_id, d2)``: nearest node and squared distance; beyond ``radius`` node -1 and the radius squared."""
+def nearest_node(points: DataFrame, y: np.ndarray, radius: float = np.inf, keep: list[str] | None = None) -> DataFrame:
+    """``(point_id, node_id, d2)``: nearest node and squared distance; beyond ``radius`` node -1 and the radius squared.
+
+    ``keep``: further columns of ``points`` to carry along, instead of a join by id afterwards.  A
+    point that is null, of another dimension, or holds nulls or numbers that are not finite has a null node and distance.
+    """
+    dim, more = np.shape(y)[1], keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                node, d2 = nearest(batch(b, 1), y, radius)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.astype(np.int32)), pa.array(d2)], ["point_id", "node_id", "d2"])
+            fine = pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False).to_numpy(zero_copy_only=False)
+            x = np.full((len(b), dim), np.nan)
+            x[fine] = b.column(1).filter(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            fine = np.isfinite(x).all(1)
+            node, d2 = np.zeros(len(b), np.int32), np.zeros(len(b))
+            if fine.any():
+                node[fine], d2[fine] = nearest(x[fine], y, radius)
+            found = [pa.array(node, mask=~fine), pa.array(d2, mask=~fine)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *found, *(b.column(2 + i) for i in range(len(more)))], ["point_id", "node_id", "d2", *more])
 
     kind = points.schema["point_id"].dataType.simpleString()
-    return points.select("point_id", "x").mapInArrow(run, f"point_id {kind}, node_id int, d2 double")
+    kinds = "".join(f", `{c}` {points.schema[c].dataType.simpleString()}" for c in more)
+    own = points.select("point_id", F.col("x").cast("array<double>").alias("_x"), *more)
+    return own.mapInArrow(run, f"point_id {kind}, node_id int, d2 double{kinds}")
 
 
 def nearest_node_expression(points: DataFrame, y: np.ndarray) -> DataFrame:

@@ -82,14 +82,15 @@ def bin_vectors(binned: DataFrame, bins: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fill_means(got: dict, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means by bin and dimension, empty bins filled in order by their neighbours; flagged where both neighbours were empty too."""
     y = np.full((bins, 1 + max((d for _, d in got), default=0)), np.nan)
     for (b, d), v in got.items():
         y[b, d] = v
-    bad = np.zeros(bins, bool)
+    empty = np.isnan(y).any(1)
+    bad = empty & empty[np.maximum(np.arange(bins) - 1, 0)] & empty[np.minimum(np.arange(bins) + 1, bins - 1)]
     for b in range(bins):
         if np.isnan(y[b]).any():
             near = [y[c] for c in (b - 1, b + 1) if 0 <= c < bins and not np.isnan(y[c]).any()]
-            bad[b] = not near
             if near:
                 y[b] = np.mean(near, axis=0)
     return y, bad

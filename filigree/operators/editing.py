@@ -77,8 +77,7 @@ def extended_ends(points: DataFrame, g: Graph, mode: str = "QuantDists", par: fl
         leaf = int(rows["leaf"].iloc[0])
         x, a = np.stack(rows["x"].to_numpy()), g.y[leaf]
         cost = lambda b: float(np.quantile(segment_distance2(x, a, b), par))
-        tried = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), 500)).astype(int))]
-        best = tried[int(np.argmin([cost(b) for b in tried]))]
+        best = x[int(np.argmin([cost(b) for b in x]))]  # every point of the leaf is tried
         if anneal_rounds:
             best = anneal(cost, best, x.min(0), x.max(0), anneal_rounds, seed + leaf)
         return pd.DataFrame({"leaf": leaf, "dim": range(len(best)), "value": best})

@@ -158,12 +158,14 @@ def kde_weights(points: DataFrame, bandwidth: float = 1.0, exponent: float = 1.0
     return found.crossJoin(F.broadcast(found.agg(F.sum("v").alias("t")))).select("point_id", (F.col("v") / F.col("t")).alias("weight"))
 
 
-def geodesic(points: DataFrame, k: int, root: int, metric: str = "euclidean", rounds: int = 200) -> DataFrame:
+def geodesic(points: DataFrame, k: int, root: int, metric: str = "euclidean", rounds: int | None = None) -> DataFrame:
     """``(point_id, pt)``: distance from ``root`` along the undirected graph of ``k`` nearest neighbours.
 
-    Relaxation in DataFrames: each round is a join of the reached points with
-    their links and a minimum per point, with a checkpoint in between; rounds
-    follow the number of links on the longest shortest path.  An unconnected graph is an error.
+    Relaxation in DataFrames until nothing changes: each round joins the points
+    that came nearer in the last one with their links and takes a minimum per
+    point, with a checkpoint in between; rounds follow the number of links on
+    the longest shortest path.  An unconnected graph is an error, and so is
+    a bound of ``rounds``, if given, that is met before the distances settle.
     """
     spark = points.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -173,14 +175,16 @@ def geodesic(points: DataFrame, k: int, root: int, metric: str = "euclidean", ro
     near = knn(points, k, metric)
     links = near.select("point_id", "neighbor_id", "dist").unionByName(near.select(F.col("neighbor_id").alias("point_id"), F.col("point_id").alias("neighbor_id"), "dist")).distinct().checkpoint()
     reach = points.select(F.col("point_id").cast("long").alias("point_id")).where(F.col("point_id") == root).withColumn("pt", F.lit(0.0)).checkpoint()
-    state = None
-    for _ in range(rounds):
-        step = reach.join(links, "point_id").select(F.col("neighbor_id").alias("point_id"), (F.col("pt") + F.col("dist")).alias("pt"))
-        reach = reach.unionByName(step).groupBy("point_id").agg(F.min("pt").alias("pt")).checkpoint()
-        now = tuple(reach.agg(F.count("*"), F.round(F.sum("pt"), 9)).first())
-        if now == state:
-            break
-        state = now
+    moved, done = reach, 0
+    while not moved.isEmpty():
+        if rounds is not None and done == rounds:
+            raise RuntimeError(f"distances did not settle in {rounds} rounds")
+        done += 1
+        step = moved.join(links, "point_id").groupBy(F.col("neighbor_id").alias("point_id")).agg(F.min(F.col("pt") + F.col("dist")).alias("near"))
+        both = reach.join(step, "point_id", "full").select("point_id", "pt", "near").checkpoint()
+        nearer = F.col("near").isNotNull() & (F.col("pt").isNull() | (F.col("near") < F.col("pt")))
+        moved = both.where(nearer).select("point_id", F.col("near").alias("pt"))
+        reach = both.select("point_id", F.least("pt", "near").alias("pt"))
     if reach.count() < points.count():
         raise ValueError("the neighbour graph is not connected; use more neighbours")
     return reach

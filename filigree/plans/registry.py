@@ -83,8 +83,7 @@ def r(c, n: int = 6):
 
 @query
 def entry_node_summary(spark, sf):
-    own = cloud(spark, sf)
-    found = A.nearest_node(own, centroids(spark, sf)).join(own, "point_id")
+    found = A.nearest_node(cloud(spark, sf), centroids(spark, sf), keep=["x"])
     return found.groupBy("node_id").agg(F.count("*").alias("n"), r(F.avg("d2")).alias("mse"), r(F.avg(F.col("x")[0])).alias("mean_x0")).orderBy("node_id")
 
 
@@ -249,8 +248,7 @@ def path_19_geodesic(spark, sf):
 
 @query
 def agg_1_node_centers(spark, sf):
-    own = cloud(spark, sf)
-    assigned = A.nearest_node(own, centroids(spark, sf), TRIM).join(own, "point_id")
+    assigned = A.nearest_node(cloud(spark, sf), centroids(spark, sf), TRIM, keep=["x", "w"])
     return A.node_means(assigned).select("node_id", "dim", r("center").alias("center"), r("rel_size").alias("rel_size"))
 
 
@@ -646,7 +644,7 @@ def win_9_equal_width(spark, sf):
 
 @query
 def win_7_filled_means(spark, sf):
-    """Ship dates of a few lines in narrow bins: empty bins take their neighbours' means."""
+    """Balances of suppliers in narrow bins: empty bins take their neighbours' means."""
     own = table(spark, sf, "supplier").select("s_acctbal")
     made = B.bin_means(B.equal_width_bins(own, "s_acctbal", 100), 100, "s_acctbal")
     return made.select("bin", "n", r("mean", 4).alias("mean"))
@@ -854,8 +852,12 @@ def viz_4_pies(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
+    from . import registry_alone
+
+    return Q | registry_alone.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql()
+    from . import registry_alone
+
+    return sql() | registry_alone.SQL

@@ -8,6 +8,7 @@ from filigree.cloud import PointCloud
 from filigree.functions import plane
 from filigree.functions import vectors as V
 from filigree.graph import Graph, uniform
+from filigree.operators import assign as A
 from filigree.operators import bins as B
 from filigree.operators import editing as E
 from filigree.operators import neighbours as N
@@ -46,7 +47,11 @@ def test_plane_geometry():
     d = plane.mahalanobis(np.random.default_rng(0).standard_normal((500, 2)), np.zeros(2))
     assert np.isclose((d**2).mean(), 2, atol=0.1)
     w = plane.centre_weights(np.array([[1, 1], [1.5, 1], [1.9, 1.0]]), square, np.array([(0, 1), (1, 2), (2, 3), (0, 3)]), np.array([1, 1.0]) + 1e-9)
-    assert w[0] > 0.99 and np.isclose(w[1], 0.5, atol=1e-6) and w[2] == 0
+    assert w[0] == 1 and w[1] == 1 and np.isclose(w[2], 0.1, atol=1e-6)  # above the threshold in full, the others as they are
+    low = plane.centre_weights(np.array([[1.5, 1.0]]), square, np.array([(0, 1), (1, 2), (2, 3), (0, 3)]), np.array([1, 1.0]) + 1e-9, threshold=0.6)
+    assert np.isclose(low[0], 0.5, atol=1e-6)
+    flat = np.array([[0.0, 0], [1, 1], [2, 2], [3, 3]])  # no spread across the diagonal
+    assert np.allclose(plane.mahalanobis(flat, flat.mean(0)), np.abs(np.arange(4) - 1.5) / np.std(np.arange(4), ddof=1))
 
 
 def test_vector_expressions(spark):
@@ -310,3 +315,19 @@ def test_layout_keeps_neighbours_near():
     at = plotdata.layout(graph())
     d = np.linalg.norm(at[:, None] - at, axis=2)
     assert max(d[a, b] for a, b in TREE) < d.max() / 2
+
+
+def test_points_that_cannot_be_assigned(spark):
+    rows = [(1, [0.0, 0.1]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [float("nan"), 0.0]), (6, [1.0, 1.0]), (7, [])]
+    got = A.nearest_node(spark.createDataFrame(rows, "point_id long, x array<double>"), np.array([[0.0, 0.0], [1.0, 1.0]]), keep=["x"])
+    assert {r["point_id"]: r["node_id"] for r in got.collect()} == {1: 0, 2: None, 3: None, 4: None, 5: None, 6: 1, 7: None}
+    assert got.where("node_id is null and d2 is not null").count() == 0
+
+
+def test_geodesic_follows_a_chain_to_its_end(spark):
+    n = 300
+    chain = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(n)], "point_id long, x array<double>")
+    got = {r["point_id"]: r["pt"] for r in N.geodesic(chain, 20, 0).collect()}
+    assert all(abs(got[i] - i) < 1e-9 for i in range(n))
+    with pytest.raises(RuntimeError):
+        N.geodesic(chain, 20, 0, rounds=3)

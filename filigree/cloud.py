@@ -45,9 +45,14 @@ def distances2(x: np.ndarray, x2: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, y: np.ndarray, radius: float = np.inf, x2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Node and squared distance of each row; the lowest node wins ties; beyond ``radius`` node -1 and the radius squared."""
+    """Node and squared distance of each row; the lowest node wins ties; beyond ``radius`` node -1 and the radius squared.
+
+    Without ``x2``, the rows' squared norms, places are taken from the middle of the nodes, so that no digits are lost far from the origin.
+    """
     if not len(x):
         return np.empty(0, np.int64), np.empty(0)
+    if x2 is None:
+        x, y = x - y.mean(0), y - y.mean(0)
     x2 = (x**2).sum(1) if x2 is None else x2
     node, d2 = np.empty(len(x), np.int64), np.empty(len(x))
     for i in range(0, len(x), AT_ONCE):
@@ -156,32 +161,40 @@ class SparkEngine(Engine):
         return out
 
     def moments(self):
-        arrays = _reader(self.shift, self.turn)
+        arrays, width = _reader(self.shift, self.turn), self.dim if self.turn is None else self.turn.shape[1]
+
+        def packed(held: tuple) -> pa.RecordBatch:
+            raw = np.concatenate([np.ravel(v) for v in held]).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([raw], pa.binary())], ["cand", "raw"])
+
+        def unpacked(raw: bytes) -> tuple:
+            v = np.frombuffer(raw)
+            return v[0], v[1 : 1 + width], v[1 + width :].reshape(width, width)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, s, q = 0, 0.0, 0.0
+            held = None
             for b in batches:
                 if len(b):
                     x, _ = arrays(b)
-                    n, s, q = n + len(x), s + x.sum(0), q + x.T @ x
-            if n:
-                raw = np.concatenate([[float(n)], np.ravel(s), np.ravel(q)]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([raw], pa.binary())], ["cand", "raw"])
+                    mean = x.mean(0)
+                    held = _merged(held, (float(len(x)), mean, (x - mean).T @ (x - mean)))
+            if held is not None:
+                yield packed(held)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = None
+            held = None
             for b in batches:
                 for raw in b.column(1).to_pylist():
-                    v = np.frombuffer(raw)
-                    sums = v if sums is None else sums + v
-            if sums is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["cand", "raw"])
+                    held = _merged(held, unpacked(raw))
+            if held is not None:
+                yield packed(held)
 
         parts = self.points.select("x", "w").mapInArrow(run, "cand int, raw binary").repartition(PARTIALS, F.spark_partition_id()).mapInArrow(add, "cand int, raw binary")
-        v = sum(np.frombuffer(bytes(r[1])) for r in parts.collect())
-        n, m = v[0], int(round((-1 + np.sqrt(1 + 4 * (len(v) - 1))) / 2))
-        mean, square = v[1 : 1 + m] / n, v[1 + m :].reshape(m, m)
-        return mean, (square - n * np.outer(mean, mean)) / max(n - 1, 1)
+        held = None
+        for r in parts.collect():  # PARTIALS rows at most
+            held = _merged(held, unpacked(bytes(r[1])))
+        n, mean, scatter = held
+        return mean, scatter / max(n - 1, 1)
 
     def sample(self, n, seed):
         share = min(1.0, 1.5 * n / max(self.count, 1) + 20 / max(self.count, 1))
@@ -207,6 +220,14 @@ def _reader(shift: np.ndarray, turn: np.ndarray | None):
     return arrays
 
 
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """Counts, means and scatter matrices of two parts as those of the whole; nothing cancels far from the origin."""
+    if a is None:
+        return b
+    n, step = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + step * (b[0] / n), a[2] + b[2] + np.outer(step, step) * (a[0] * b[0] / n)
+
+
 def _rows(held: list[Stats | None]) -> pa.RecordBatch:
     known = [(c, np.concatenate([[s.spread, s.total], s.weight, s.sums.ravel()]).tobytes()) for c, s in enumerate(held) if s is not None]
     return pa.RecordBatch.from_arrays([pa.array([c for c, _ in known], pa.int32()), pa.array([r for _, r in known], pa.binary())], ["cand", "raw"])

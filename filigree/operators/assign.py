@@ -19,9 +19,17 @@ from ..cloud import nearest
 from ..functions import vectors as V
 
 
-def batch(b: pa.RecordBatch, column: int) -> np.ndarray:
-    """A vector column of a batch as a matrix."""
-    return b.column(column).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+def batch(b: pa.RecordBatch, column: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A vector column of a batch as a matrix, and which rows are fine.
+
+    A row that is null, of another dimension, or holds nulls or numbers that are not finite is not; it holds zeros.
+    """
+    fine = pc.fill_null(pc.equal(pc.list_value_length(b.column(column)), dim), False).to_numpy(zero_copy_only=False)
+    x = np.zeros((len(b), dim))
+    x[fine] = b.column(column).filter(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    fine = fine & np.isfinite(x).all(1)
+    x[~fine] = 0
+    return x, fine
 
 
 def nearest_node(points: DataFrame, y: np.ndarray, radius: float = np.inf, keep: list[str] | None = None) -> DataFrame:
@@ -34,14 +42,9 @@ def nearest_node(points: DataFrame, y: np.ndarray, radius: float = np.inf, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fine = pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), dim), False).to_numpy(zero_copy_only=False)
-            x = np.full((len(b), dim), np.nan)
-            x[fine] = b.column(1).filter(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            fine = np.isfinite(x).all(1)
-            node, d2 = np.zeros(len(b), np.int32), np.zeros(len(b))
-            if fine.any():
-                node[fine], d2[fine] = nearest(x[fine], y, radius)
-            found = [pa.array(node, mask=~fine), pa.array(d2, mask=~fine)]
+            x, fine = batch(b, 1, dim)
+            node, d2 = nearest(x, y, radius)
+            found = [pa.array(node.astype(np.int32), mask=~fine), pa.array(d2, mask=~fine)]
             yield pa.RecordBatch.from_arrays([b.column(0), *found, *(b.column(2 + i) for i in range(len(more)))], ["point_id", "node_id", "d2", *more])
 
     kind = points.schema["point_id"].dataType.simpleString()
@@ -58,18 +61,18 @@ def nearest_node_expression(points: DataFrame, y: np.ndarray) -> DataFrame:
 
 
 def distance_arrays(points: DataFrame, y: np.ndarray) -> DataFrame:
-    """``(point_id, x, d2s)``: the squared distances to all nodes, kept for assignments after an edit."""
+    """``(point_id, x, d2s)``: the squared distances to all nodes, kept for assignments after an edit; null for points without a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x = batch(b, 1)
+                x, fine = batch(b, 1, np.shape(y)[1])
                 d = np.stack([((x - v) ** 2).sum(1) for v in y], 1)
-                rows = pa.ListArray.from_arrays(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32), d.ravel())
+                rows = pa.ListArray.from_arrays(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32), d.ravel(), mask=pa.array(~fine))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], ["point_id", "x", "d2s"])
 
     kind = points.schema["point_id"].dataType.simpleString()
-    return points.select("point_id", "x").mapInArrow(run, f"point_id {kind}, x array<double>, d2s array<double>")
+    return points.select("point_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"point_id {kind}, x array<double>, d2s array<double>")
 
 
 def reassign(known: DataFrame, edit: str, node: int | None = None, at: np.ndarray | None = None) -> DataFrame:
@@ -93,25 +96,25 @@ def reassign(known: DataFrame, edit: str, node: int | None = None, at: np.ndarra
 
 
 def barycentric(points: DataFrame, y: np.ndarray, before: DataFrame | None = None) -> DataFrame:
-    """``(point_id, node_id, d)`` by ``d2 / s + s``, ``s`` the spread of all coordinates of a node's points in the assignment before."""
+    """``(point_id, node_id, d)`` by ``d2 / s + s``, ``s`` the spread of all coordinates of a node's points in the assignment before; null for points without a place."""
     before = before if before is not None else nearest_node(points, y)
-    flat = points.join(before.select("point_id", "node_id"), "point_id").select("node_id", F.explode("x").alias("v"))
+    flat = points.join(before.where("node_id >= 0").select("point_id", "node_id"), "point_id").select("node_id", F.explode("x").alias("v"))
     rows = flat.groupBy("node_id").agg(F.stddev_pop("v").alias("s"), F.count("*").alias("n")).collect()  # a row per node
     spread = np.full(len(y), 1e-100)
     for r in rows:
-        if 0 <= r["node_id"] and r["n"] > len(y[0]):
+        if r["n"] > len(y[0]):
             spread[r["node_id"]] = max(r["s"], 1e-100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x = batch(b, 1)
+                x, fine = batch(b, 1, np.shape(y)[1])
                 d = np.stack([((x - v) ** 2).sum(1) for v in y], 1) / spread + spread
                 node = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.astype(np.int32)), pa.array(d[np.arange(len(d)), node])], ["point_id", "node_id", "d"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.astype(np.int32), mask=~fine), pa.array(d[np.arange(len(d)), node], mask=~fine)], ["point_id", "node_id", "d"])
 
     kind = points.schema["point_id"].dataType.simpleString()
-    return points.select("point_id", "x").mapInArrow(run, f"point_id {kind}, node_id int, d double")
+    return points.select("point_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"point_id {kind}, node_id int, d double")
 
 
 def coordinates(points: DataFrame, *keep: str) -> DataFrame:
@@ -123,10 +126,10 @@ def node_means(assigned: DataFrame, k: int | None = None, w: Column | None = Non
     """``(node_id, dim, center, rel_size)`` of ``assigned (node_id, x, w)``.
 
     Trimmed points (node -1) have no centre, but their weight counts in the
-    whole.  With ``k`` nodes without points are listed with size 0 and centre 0.
+    whole; points without a place (a null node) take no part.  With ``k`` nodes without points are listed with size 0 and centre 0.
     """
     w = F.col("w") if w is None else w
-    total = assigned.agg(F.sum(w).alias("_all"))
+    total = assigned.where("node_id is not null").agg(F.sum(w).alias("_all"))
     sums = assigned.where("node_id >= 0").select("node_id", w.alias("_w"), F.posexplode("x").alias("dim", "v")).groupBy("node_id", "dim").agg((F.sum(F.col("_w") * F.col("v")) / F.sum("_w")).alias("center"), F.sum("_w").alias("_n"))
     if k is not None:
         spark = assigned.sparkSession
@@ -151,9 +154,10 @@ def radial_count(points: DataFrame, y: np.ndarray, radii: list[float]) -> DataFr
         n = np.zeros(len(radii), np.int64)
         for b in batches:
             if len(b):
-                x = batch(b, 0)
+                x, fine = batch(b, 0, np.shape(y)[1])
+                x = x[fine]
                 d = np.stack([((x - v) ** 2).sum(1) for v in y], 1)
                 n += np.array([(d < r * r).sum() for r in radii])
         yield pa.RecordBatch.from_arrays([pa.array(radii, pa.float64()), pa.array(n)], ["radius", "n"])
 
-    return points.select("x").mapInArrow(run, "radius double, n long").groupBy("radius").agg(F.sum("n").alias("n_pairs"))
+    return points.select(F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "radius double, n long").groupBy("radius").agg(F.sum("n").alias("n_pairs"))

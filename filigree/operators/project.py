@@ -46,21 +46,25 @@ def project_batch(x: np.ndarray, g: Graph, radius: float = np.inf) -> tuple[np.n
 
 
 def project(points: DataFrame, g: Graph, radius: float = np.inf) -> DataFrame:
-    """``(point_id, node_id, d2, edge_id, edge_loc, d2_proj, x_proj)`` of every point; no edge is null."""
+    """``(point_id, node_id, d2, edge_id, edge_loc, d2_proj, x_proj)`` of every point; no edge is null.
+
+    All is null for a point that is null, of another dimension, or holds nulls or numbers that are not finite.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                node, d2, edge, loc, best, place = project_batch(batch(b, 1), g, radius)
-                off = edge < 0
-                rows = pa.ListArray.from_arrays(np.arange(0, place.size + 1, place.shape[1], dtype=np.int32), place.ravel())
+                x, fine = batch(b, 1, g.y.shape[1])
+                node, d2, edge, loc, best, place = project_batch(x, g, radius)
+                off = (edge < 0) | ~fine
+                rows = pa.ListArray.from_arrays(np.arange(0, place.size + 1, place.shape[1], dtype=np.int32), place.ravel(), mask=pa.array(~fine))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(node.astype(np.int32)), pa.array(d2), pa.array(edge.astype(np.int32), mask=off), pa.array(loc, mask=off), pa.array(best, mask=off), rows],
+                    [b.column(0), pa.array(node.astype(np.int32), mask=~fine), pa.array(d2, mask=~fine), pa.array(edge.astype(np.int32), mask=off), pa.array(loc, mask=off), pa.array(best, mask=off), rows],
                     ["point_id", "node_id", "d2", "edge_id", "edge_loc", "d2_proj", "x_proj"],
                 )
 
     kind = points.schema["point_id"].dataType.simpleString()
-    return points.select("point_id", "x").mapInArrow(run, f"point_id {kind}, node_id int, d2 double, edge_id int, edge_loc double, d2_proj double, x_proj array<double>")
+    return points.select("point_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"point_id {kind}, node_id int, d2 double, edge_id int, edge_loc double, d2_proj double, x_proj array<double>")
 
 
 def project_join(points: DataFrame, assigned: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -82,25 +86,27 @@ def fit_report(points: DataFrame, g: Graph, radius: float = np.inf, kind: str =
     """The report row of a graph against a cloud: errors to nodes and to edges and their shares of the variance.
 
     ``points (point_id, x, w)``; points beyond the radius count with the radius at their node, not at edges.
-    One pass; per task one row comes back.
+    Points without a place take no part.  One pass; per task one row comes back.  The variance is summed around the
+    mean of the nodes, so that a cloud far from the origin loses no digits.
     """
     from ..plans.fit import report_row
 
-    m = g.y.shape[1]
+    m, middle = g.y.shape[1], g.y.mean(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros(6 + 2 * m)
         for b in batches:
             if len(b):
-                x, w = batch(b, 0), b.column(1).to_numpy(zero_copy_only=False)
+                x, fine = batch(b, 0, m)
+                x, w = x[fine], b.column(1).to_numpy(zero_copy_only=False)[fine]
                 _, d2, _, _, best, _ = project_batch(x, g, radius)
                 on = np.isfinite(best)
                 s[:6] += len(x), w.sum(), (w * d2).sum(), w[on].sum(), (w[on] * best[on]).sum(), 0
-                s[6 : 6 + m] += x.sum(0)
-                s[6 + m :] += (x**2).sum(0)
+                s[6 : 6 + m] += (x - middle).sum(0)
+                s[6 + m :] += ((x - middle) ** 2).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(s)), pa.int32()), pa.array(s)], ["i", "v"])
 
-    sums = points.select("x", "w").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sums = points.select(F.col("x").cast("array<double>").alias("x"), F.col("w").cast("double").alias("w")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     s = np.zeros(6 + 2 * m)
     for r in sums:
         s[r["i"]] = r["v"]

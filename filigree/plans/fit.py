@@ -176,26 +176,29 @@ def fit(cloud: Engine, start: Callable[[Engine], Graph] | Graph, o: Options, fix
 
 
 def fit_replicas(
-    cloud: PointCloud, start: Callable[[Engine], Graph], o: Options, replicas: int = 1, share: float = 1.0, subsets: list[list[int]] | None = None, seed: int = 0, consensus: bool = True, fixed_points=None
+    cloud: PointCloud, start: Callable[[Engine], Graph], o: Options, replicas: int = 1, share: float = 1.0, subsets: list[list[int]] | None = None, seed: int = 0, consensus: bool = True, fixed_points=None, sample_start: bool = True
 ) -> list[Fitted]:
     """A fit per subset of the columns and replica of a row sample, and per subset the consensus of its replicas.
 
     A replica sees each point with probability ``share``, the same points for the same seed, weights along
-    with them.  The consensus is fitted to the pooled nodes of the replicas and comes last.
+    with them.  A start that is made from points is made from the replica's, or from all if not ``sample_start``.
+    The consensus is fitted to the pooled nodes of the replicas and comes last.
     """
     from pyspark.sql import functions as F
 
     out = []
     for s, columns in enumerate(subsets or [None]):
         own: list[Fitted] = []
+        every = cloud.points
+        if columns is not None:
+            every = every.withColumn("x", F.array(*[F.col("x")[c] for c in columns]))
+        begin = start if sample_start or not callable(start) else start(PointCloud(every).engine())
         for r in range(replicas):
-            points = cloud.points
-            if columns is not None:
-                points = points.withColumn("x", F.array(*[F.col("x")[c] for c in columns]))
+            points = every
             if share < 1:
                 points = points.where((F.xxhash64("point_id", F.lit(seed * 1000 + r)).cast("double") / F.lit(2.0**64) + 0.5) < share)
             engine = PointCloud(points).engine()
-            own.append(replace(fit(engine, start, o, fixed_points), subset=s, replica=r))
+            own.append(replace(fit(engine, begin, o, fixed_points), subset=s, replica=r))
         out += own
         if replicas > 1 and consensus:
             pooled = LocalEngine(np.vstack([f.graph.y for f in own]))

@@ -91,20 +91,20 @@ def starting(configuration: str, nodes: int, lam: float, mu: float, density_radi
     return make
 
 
-def _run(cloud: PointCloud | Engine, o: Options, configuration: str, init_nodes: int, init: Graph | None, replicas: int, share: float, subsets, density_radius, seed: int, fixed_points) -> Fitted | list[Fitted]:
+def _run(cloud: PointCloud | Engine, o: Options, configuration: str, init_nodes: int, init: Graph | None, replicas: int, share: float, subsets, density_radius, seed: int, fixed_points, sample_start: bool = True) -> Fitted | list[Fitted]:
     start = init if init is not None else starting(configuration, init_nodes, o.lam, o.mu, density_radius, seed)
     if isinstance(cloud, Engine):
         return fit(cloud, start, o, fixed_points)
     if replicas == 1 and share >= 1 and subsets is None:
         return fit(cloud.engine(), start, o, fixed_points)
-    return fit_replicas(cloud, start, o, replicas, share, subsets, seed, fixed_points=fixed_points)
+    return fit_replicas(cloud, start, o, replicas, share, subsets, seed, fixed_points=fixed_points, sample_start=sample_start)
 
 
 def _options(nodes: int, kwargs: dict, **own) -> tuple[Options, dict]:
     """Options and the arguments of ``_run`` from the keyword arguments of a topology."""
     known = {"iterations", "eps", "mode", "radius", "final_energy", "alpha", "beta", "goal_pull", "refresh"}
     rules = Rules(**({k: v for k, v in own.items() if k in known} | {k: v for k, v in kwargs.items() if k in known}))
-    run = {"configuration": "Line", "init_nodes": 3, "init": None, "replicas": 1, "share": 1.0, "subsets": None, "density_radius": None, "seed": 0, "fixed_points": None}
+    run = {"configuration": "Line", "init_nodes": 3, "init": None, "replicas": 1, "share": 1.0, "subsets": None, "density_radius": None, "seed": 0, "fixed_points": None, "sample_start": True}
     run |= {k: v for k, v in own.items() if k in run} | {k: v for k, v in kwargs.items() if k in run}
     rest = {k: v for k, v in (own | kwargs).items() if k not in known and k not in run}
     return Options(nodes, rules=rules, **rest), run

@@ -1,6 +1,7 @@
 """The familiar calls, end to end on a small cloud: fit, edit, project, order."""
 
 import numpy as np
+import pytest
 
 from filigree import compat as C
 
@@ -40,6 +41,23 @@ def test_curves_circles_weights_and_neighbours(spark):
     assert len(led["NodePositions"]) == 12
     several = C.computeElasticPrincipalTree(x, 5, nReps=2, ProbPoint=0.9)
     assert len(several) == 3
+    assert len(C.computeElasticPrincipalTree(x, 5, nReps=2, ProbPoint=0.9, SampleIC=False, FixNodesAtPoints=[], Subsets=[])) == 3
     dist, near = C.supervised_knn(x, np.arange(300) % 3, n_neighbors=6, n_natural=2)
     assert dist.shape == (300, 6) and (near >= 0).all()
     assert C.geodesic_pseudotime(x, 12, 0)[0] == 0
+
+
+def test_arguments_without_effect_raise(spark):
+    x = cloud(n=60)
+    pg = {"NodePositions": np.array([[0.0, 0.0], [1.0, 0.0], [0.5, 1.0]]), "Edges": (np.array([[0, 1], [0, 2]]), 0.01, 0.1)}
+    for call in (
+        lambda: C.computeElasticPrincipalCurve(x, 4, AvoidResampling=False),
+        lambda: C.computeElasticPrincipalCurve(x, 4, Lambdda=0.1),
+        lambda: C.ShiftBranching(x, pg, Compensate=True),
+        lambda: C.addPath(x, pg, 1, 2, weight=np.ones(60)),
+        lambda: C.getWeights(x, 0.5, kernel="tophat"),
+        lambda: C.supervised_knn(x, np.arange(60) % 2, metric="cosine"),
+    ):
+        with pytest.raises(TypeError):
+            call()
+    C.computeElasticPrincipalCurve(x, 4, AvoidResampling=True, Lambda_Initial=None, n_cores=4)

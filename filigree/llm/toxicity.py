@@ -192,7 +192,11 @@ class _Places(dict):
 
 
 def _counted(docs: DataFrame, vocabulary=None) -> DataFrame:
-    """``(doc_id, terms, counts)``: hashes of each text's terms, or their dimensions in a broadcast vocabulary, ascending, with counts."""
+    """``(doc_id, terms, counts)``: hashes of each text's terms, ascending, with counts.
+
+    With a broadcast vocabulary instead the terms' dimensions in it, each as the step from the one before: small
+    numbers, which a written table packs well.  ``_dimensions`` adds them up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if vocabulary is None else _Places(vocabulary.value)
@@ -205,7 +209,7 @@ def _counted(docs: DataFrame, vocabulary=None) -> DataFrame:
                     n, order = np.fromiter(held.values(), np.int32, len(held)), np.argsort(at)
                     if known is not None:
                         order = order[at[order] >= 0]
-                    terms.append(at[order])
+                    terms.append(at[order] if known is None else np.diff(at[order], prepend=0))
                     counts.append(n[order])
                 offsets = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
                 lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)))
@@ -215,13 +219,21 @@ def _counted(docs: DataFrame, vocabulary=None) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, terms array<{'long' if vocabulary is None else 'int'}>, counts array<int>")
 
 
+def _dimensions(steps: pa.ListArray) -> np.ndarray:
+    """The dimensions of all rows of ``_counted``'s steps, one row after another."""
+    ends = np.cumsum(steps.flatten().to_numpy().astype(np.int64))
+    at = steps.offsets.to_numpy() - steps.offsets[0].as_py()
+    before = np.append(0, ends)[at[:-1]]
+    return ends - np.repeat(before, np.diff(at))
+
+
 def _frequencies(slim: DataFrame, size: int) -> np.ndarray:
     """In how many rows of ``slim (terms)`` each dimension occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for b in trimmed(batches):
-            n += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
+            n += np.bincount(_dimensions(b.column(0)), minlength=size)
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["t", "n"])
 
@@ -268,7 +280,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     k = np.bincount(place, toxic[of].astype(float), len(vocabulary))
 
     # All documents: dimensions and counts of their terms, read from the texts once.
-    slim = written(_counted(docs, spark.sparkContext.broadcast(vocabulary)), "terms")
+    slim = written(_counted(docs, spark.sparkContext.broadcast(vocabulary)), "terms", "zstd")
     idf = np.log((1 + slim.count()) / (1 + _frequencies(slim, len(vocabulary)))) + 1
     ends = np.cumsum(sizes)
     vectors = [(place[e - s : e], counts[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())]
@@ -279,12 +291,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for b in trimmed(batches):
             scores, near = [], []
             for terms, counts in zip(b.column(1), b.column(2)):
-                t, c = terms.values.to_numpy(), counts.values.to_numpy()
+                t, c = np.cumsum(terms.values.to_numpy().astype(np.int64)), counts.values.to_numpy()
                 key = xxhash.xxh3_128_digest(t.tobytes() + c.tobytes())
                 if key not in memo:
                     if len(memo) > 100_000:
                         memo.clear()
-                    memo[key] = index.score(t.astype(np.int64), c.astype(float))
+                    memo[key] = index.score(t, c.astype(float))
                 scores.append(memo[key][0])
                 near.append(memo[key][1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])

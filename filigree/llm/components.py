@@ -35,7 +35,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     The work per round follows the number of links; rounds grow with the
     logarithm of the longest path.
     """
-    now, before = cut(links.where("u <> v").select("u", "v").distinct()), None
+    ends = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now, before = cut(ends.distinct()), None
     for _ in range(rounds):
         now = cut(_small_star(_large_star(now)))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

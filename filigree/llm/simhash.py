@@ -34,7 +34,7 @@ from .decontam import _Hashes, shingle_hashes
 
 SEED = 42
 #: Entries of a key up to which all are compared in one join; beyond, in a grid of blocks of BLOCK.
-SMALL, BLOCK = 64, 2048
+SMALL, BLOCK = 16, 2048
 
 
 def bit_counts(rows: np.ndarray) -> np.ndarray:
@@ -78,18 +78,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _forest(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Links of a spanning forest of the pairs (x of a, y of b) at ``radius`` or fewer bits; ``a`` and ``b`` are rows of 64-bit words."""
+    """Links of a spanning forest of the pairs (x of a, y of b) at ``radius`` or fewer bits; ``a`` and ``b`` are rows of 64-bit words.
+
+    Vertices are taken by ascending id, so that groups that meet under several keys give the same few hubs and mostly the same links.
+    """
     verts, pos = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
     ia, ib = pos[: len(a)], pos[len(a) :]
     root, out = np.arange(len(verts)), []
-    for i in range(len(a)):
+    for i in np.argsort(ia, kind="stable"):
         near = ib[np.bitwise_count(b ^ a[i]).sum(axis=1, dtype=np.int64) <= radius]
         mine = root[ia[i]]
-        for r in np.unique(root[near]):  # as many as components meet here
-            if r != mine:
-                out.append((verts[ia[i]], verts[near[root[near] == r][0]]))
-                root[root == r] = mine
-    return np.array(out, np.int64).reshape(-1, 2)
+        met, at = np.unique(root[near], return_index=True)
+        if (other := met != mine).any():
+            out.append(np.stack([np.full(other.sum(), verts[ia[i]]), verts[near[at[other]]]], axis=1))
+            root[np.isin(root, met)] = mine
+            if (root == mine).all():  # nothing is left to join
+                break
+    return np.concatenate([np.empty((0, 2), np.int64), *out])
 
 
 def _dense(filed: DataFrame, probes: DataFrame, crowded: DataFrame, words: list[str], radius: int) -> DataFrame:

@@ -7,32 +7,72 @@ before a range is a running sum over a table of ranges.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that a range of an order should hold, and the least and greatest number of ranges; the greatest bounds what the driver holds.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 16, 16_384
+#: Types of which different values differ as doubles too, and types that doubles keep in order.
+_EXACT = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType)
+_MONOTONE = (*_EXACT, T.LongType, T.DecimalType)
+
+
+def _place(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` lie below ``value``, by halving; 0 for a null value."""
+    if not cuts:
+        return F.lit(0)
+    table, steps = F.lit(cuts), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    below = lambda at, s: F.when(at + s <= len(cuts), F.get(table, at + s - 1) < value)
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), lambda at, s: F.when(below(at, s), at + s).otherwise(at))
+
 
-#: Ranges that an order is cut in.
-RANGES = 256
+def _quantiles(value: Column, ranges: int) -> Column:
+    return F.percentile_approx(value, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))
 
 
-def ordered(df: DataFrame, order: str, tie: str, weight: Column | None = None, ranges: int = RANGES) -> DataFrame:
+def ordered(df: DataFrame, order: str, tie: str, weight: Column | None = None, ranges: int | None = None) -> DataFrame:
     """``df`` with ``rn`` (place from 1), ``n`` (rows), ``cum`` (weight up to the row) and ``all_w``; null values come first.
 
-    Ties in ``order`` go by ``tie``.
+    Ties in ``order`` go by ``tie``.  Ranges number one per RANGE_ROWS rows, unless given.  A value (or null) that
+    fills more than a range is cut in as many by ``tie``, if both columns are numbers and those of ``order`` are
+    exact as doubles; else it is one range.
     """
     weight = F.lit(1.0) if weight is None else weight
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(order))), F.lit(0)) if cuts else F.lit(0)
-    placed = df.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(place)).withColumn("_w", weight)
-    sums = placed.groupBy("_range").agg(F.count("*").alias("_c"), F.sum("_w").alias("_s"))  # RANGES rows at most
-    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {f.name: f.dataType for f in df.schema}
+    value, by_tie = F.col(order).cast("double"), isinstance(kinds[tie], _MONOTONE)
+    exact = isinstance(kinds[order], _EXACT) or isinstance(kinds[order], T.DecimalType) and kinds[order].precision <= 15
+    if ranges is None:
+        ranges = max(LEAST_RANGES, min(MOST_RANGES, -(-df.count() // RANGE_ROWS)))
+    found = df.agg(_quantiles(value, ranges).alias("cuts"), F.count("*").alias("rows"), F.count(order).alias("known")).first()
+    often = Counter(c for c in found["cuts"] or [] if c == c)
+    cuts = sorted(often)
+    parts = [often[c] if exact and by_tie else 1 for c in cuts]
+    null_parts = max(1, ranges * (found["rows"] - found["known"]) // max(1, found["rows"])) if by_tie else 1
+    placed = df.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(_place(value, cuts))).withColumn("_w", weight)
+    part = F.lit(0)
+    if null_parts > 1 or max(parts, default=1) > 1:
+        hot = F.col(order).isNull() | value.isin([c for c, n in zip(cuts, parts) if n > 1])
+        ties = sorted({c for c in df.where(hot).agg(_quantiles(F.col(tie).cast("double"), ranges)).first()[0] or [] if c == c})
+        cut = lambda n: F.floor(_place(F.col(tie).cast("double"), ties) * n / ranges).cast("int")
+        part = F.when(F.col(order).isNull(), cut(F.lit(null_parts)))
+        if cuts:
+            own = F.get(F.lit(parts), F.col("_range"))
+            part = part.when((own > 1) & (F.get(F.lit(cuts), F.col("_range")) == value), 1 + cut(own))  # after the lesser values of its range
+        part = part.otherwise(0)
+    placed = placed.withColumn("_part", part)
+    keys = ["_range", "_part"]
+    sums = placed.groupBy(*keys).agg(F.count("*").alias("_c"), F.sum("_w").alias("_s"))  # a few rows per range
+    w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    sums = sums.select("_range", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_c0"), F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_s0"), F.sum("_c").over(every).alias("n"), F.sum("_s").over(every).alias("all_w"))
-    within = Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first(), tie)
-    out = placed.join(F.broadcast(sums), "_range").withColumn("rn", F.row_number().over(within) + F.col("_c0"))
+    sums = sums.select(*keys, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_c0"), F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_s0"), F.sum("_c").over(every).alias("n"), F.sum("_s").over(every).alias("all_w"))
+    within = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), tie)
+    out = placed.join(F.broadcast(sums), keys).withColumn("rn", F.row_number().over(within) + F.col("_c0"))
     out = out.withColumn("cum", F.sum("_w").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_s0"))
-    return out.drop("_range", "_w", "_c0", "_s0")
+    return out.drop(*keys, "_w", "_c0", "_s0")
 
 
 def even_bins(df: DataFrame, order: str, tie: str, bins: int) -> DataFrame:

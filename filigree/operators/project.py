@@ -67,19 +67,25 @@ def project(points: DataFrame, g: Graph, radius: float = np.inf) -> DataFrame:
     return points.select("point_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, f"point_id {kind}, node_id int, d2 double, edge_id int, edge_loc double, d2_proj double, x_proj array<double>")
 
 
-def project_join(points: DataFrame, assigned: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same as an equi-join with the edges' ends, by expressions: ``(point_id, edge_id, edge_loc, d2_proj)``.
+def project_join(assigned: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same by expressions: ``(point_id, edge_id, edge_loc, d2_proj)`` of ``assigned (point_id, x, node_id)``.
 
-    ``nodes (node_id, y)`` and ``edges (edge_id, src, dst)`` are graph-sized.
+    ``nodes (node_id, y)`` and ``edges (edge_id, src, dst)`` are graph-sized: a node's edges are one row of a broadcast
+    table, so points stay where they are.  Points without a node, or at a node without edges, give no row.
     """
     ends = edges.join(nodes.select(F.col("node_id").alias("src"), F.col("y").alias("ya")), "src").join(nodes.select(F.col("node_id").alias("dst"), F.col("y").alias("yb")), "dst")
-    ends = ends.withColumn("node_id", F.explode(F.array("src", "dst")))
-    at = points.join(assigned.select("point_id", "node_id"), "point_id").join(F.broadcast(ends), "node_id")
-    at = at.withColumn("u", V.edge_share(F.col("x"), F.col("ya"), F.col("yb")))
-    foot = V.between(F.col("ya"), F.col("yb"), V.clamp(F.col("u")))
-    at = at.withColumn("d", V.sqdist(F.col("x"), foot))
-    best = F.min_by(F.struct("edge_id", "u", "d"), F.struct(F.round("d", TIES), "edge_id"))
-    return at.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.edge_id", F.col("b.u").alias("edge_loc"), F.col("b.d").alias("d2_proj"))
+    ends = ends.withColumn("node_id", F.explode(F.array("src", "dst"))).groupBy("node_id").agg(F.collect_list(F.struct("edge_id", "ya", "yb")).alias("ends"))
+
+    # The share is bound in a step of its own: within the expression of the place it would be worked out per dimension.
+    share = lambda e: F.struct(V.edge_share(F.col("x"), e["ya"], e["yb"]).alias("u"), e.alias("e"))
+
+    def tried(s):
+        e = s["e"]
+        d = V.sqdist(F.col("x"), V.between(e["ya"], e["yb"], V.clamp(s["u"])))
+        return F.struct(F.round(d, TIES).alias("near"), e["edge_id"].alias("edge_id"), s["u"].alias("u"), d.alias("d"))
+
+    at = assigned.join(F.broadcast(ends), "node_id").select("point_id", F.array_min(F.transform(F.transform("ends", share), tried)).alias("b"))
+    return at.select("point_id", "b.edge_id", F.col("b.u").alias("edge_loc"), F.col("b.d").alias("d2_proj"))
 
 
 def fit_report(points: DataFrame, g: Graph, radius: float = np.inf, kind: str = "Base") -> tuple[dict, Energy]:

@@ -144,7 +144,7 @@ def join_8_project_graph(spark, sf):
 @query
 def join_8_project_join(spark, sf):
     g, own = graph(spark, sf), cloud(spark, sf)
-    found = J.project_join(own, A.nearest_node(own, g.y), store.nodes_frame(spark, g).select("node_id", "y"), store.edges_frame(spark, g).select("edge_id", "src", "dst"))
+    found = J.project_join(A.nearest_node(own, g.y, keep=["x"]), store.nodes_frame(spark, g).select("node_id", "y"), store.edges_frame(spark, g).select("edge_id", "src", "dst"))
     return found.select(F.col("point_id").alias("vec_id"), "edge_id", r("edge_loc").alias("edge_loc"), r("d2_proj").alias("d2_proj"))
 
 

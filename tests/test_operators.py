@@ -144,6 +144,37 @@ def test_order_over_ranges(spark):
     assert [got[int(i)] for i in order] == list(range(1, 501))
 
 
+@pytest.mark.parametrize("kind", ["double", "int", "long", "decimal(12,2)", "decimal(38,2)"])
+@pytest.mark.parametrize("ranges", [2, 16, 64])
+def test_order_with_nulls_and_frequent_values(spark, kind, ranges):
+    rng = np.random.default_rng(8)
+    n = 600
+    v = [None if p < 0.3 else 7 if p < 0.7 else int(x) for p, x in zip(rng.random(n), rng.integers(-20, 40, n))]
+    tie = rng.permutation(n)
+    df = spark.createDataFrame([(i, x, int(t)) for i, (x, t) in enumerate(zip(v, tie))], "id long, v int, tie long")
+    made = B.ordered(df.withColumn("v", F.col("v").cast(kind)), "v", "tie", F.lit(2.0), ranges)
+    got = {r["id"]: (r["rn"], r["cum"], r["n"], r["all_w"]) for r in made.collect()}
+    order = sorted(range(n), key=lambda i: (v[i] is not None, v[i] or 0, tie[i]))
+    assert [got[i] for i in order] == [(k, 2.0 * k, n, 2.0 * n) for k in range(1, n + 1)]
+
+
+def test_order_of_odd_rows(spark):
+    rows = [(0, float("nan"), "b"), (1, float("nan"), "a"), (2, None, "c"), (3, 1.0, None), (4, 1.0, "a"), (5, float("inf"), "d")]
+    got = B.ordered(spark.createDataFrame(rows, "id long, v double, tie string"), "v", "tie").collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rn"])] == [2, 3, 4, 5, 1, 0]
+    empty = spark.createDataFrame([], "id long, v double, tie long")
+    assert B.ordered(empty, "v", "tie").count() == 0
+    nulls = spark.createDataFrame([(1, None), (0, None)], "id long, v double")
+    assert [(r["id"], r["rn"]) for r in B.ordered(nulls, "v", "id").orderBy("id").collect()] == [(0, 1), (1, 2)]
+
+
+def test_halving_counts_the_cuts_below(spark):
+    for n in (1, 2, 3, 7, 8, 9, 100):
+        cuts = [float(c) for c in range(0, 2 * n, 2)]
+        rows = spark.range(-2, 2 * n + 2).select(F.col("id").cast("double").alias("v")).withColumn("at", B._place(F.col("v"), cuts)).collect()
+        assert all(r["at"] == sum(c < r["v"] for c in cuts) for r in rows)
+
+
 @pytest.mark.parametrize("n,b", [(30, 7), (100, 20), (5, 5), (3, 5)])
 def test_even_bins(spark, n, b):
     df = spark.createDataFrame([(i, float(i)) for i in range(n)], "id long, v double")

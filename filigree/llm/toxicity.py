@@ -5,8 +5,8 @@ a dimension; document frequencies are counted over all documents, and a term's
 weight grows with its evidence for the label among the examples (a likelihood
 ratio), down to a small floor for terms without any, so that words which say
 nothing decide only where nothing else does.  The index keeps a term's postings
-by block of examples with the largest weight in each block: a query adds up its
-strongest terms first, and blocks whose best sum plus what the other terms can
+by block of examples with the largest weight in each block: a query with many postings
+adds up its strongest terms first, and blocks whose best sum plus what the other terms can
 add stays below the k-th best are left out, which changes no neighbour.  Votes
 weigh by distance, and a logistic curve fitted on the examples' own
 leave-one-out votes calibrates them.
@@ -30,6 +30,8 @@ from .common import cut, trimmed, written
 _TERMS = re.compile(r"[^\W\d_]+").findall
 #: Labelled rows that examples are taken from at most, examples in a block, votes, words that a task remembers.
 EXAMPLES, BLOCK, NEIGHBOURS, MEMO = 6_000, 64, 25, 200_000
+#: Postings up to which a query adds all of its terms at once: bounds by block would cost more than they spare.
+WHOLE = 1 << 18
 #: A term's weight is (g / (g + HALF)) ** 2 + FLOOR for a likelihood ratio of g towards the label.
 HALF, FLOOR = 50.0, 1e-3
 
@@ -112,14 +114,17 @@ class Index:
         Without ``copies``, examples whose vector is the query's own are left out.
         """
         impact = w * self.top[terms]
-        order = np.argsort(-impact, kind="stable")
-        order = order[impact[order] > 0]
-        if not len(order):
+        some = impact > 0
+        if not some.any():
             return np.empty(0, np.int64), np.empty(0)
-        terms, w, left = terms[order], w[order], np.cumsum(impact[order][::-1])[::-1]
-        strong = int(np.searchsorted(-left, -left[0] / 4)) or 1  # terms before which more than a quarter may still come
+        terms, w, impact = terms[some], w[some], impact[some]
         begin = self.start[self.first[terms]].astype(np.int64)
         length = self.start[self.first[terms + 1]] - begin
+        strong = len(terms)
+        if length.sum() > WHOLE:
+            order = np.argsort(-impact, kind="stable")
+            terms, w, begin, length, left = terms[order], w[order], begin[order], length[order], np.cumsum(impact[order][::-1])[::-1]
+            strong = int(np.searchsorted(-left, -left[0] / 4)) or 1  # terms before which more than a quarter may still come
         cos = self._add(w[:strong], begin[:strong], length[:strong])
         if strong < len(terms):
             kth = np.partition(cos, -k)[-k] if len(cos) >= k and copies else 0.0
@@ -177,18 +182,20 @@ class Index:
 
 
 class _Places(dict):
-    """The dimension of each word, or -1; remembered for as many words as MEMO."""
+    """The dimension of each word, or -1; remembered for as many words as MEMO, or those of one call."""
 
     def __init__(self, vocabulary: np.ndarray):
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
+    def learn(self, words: set[str]) -> None:
+        """Looks up all words that are not known yet, in one search."""
+        if len(self) + len(words) > MEMO:
             self.clear()
-        h = term_hash(word)
-        at = int(np.searchsorted(self.vocabulary, h))
-        self[word] = out = at if at < len(self.vocabulary) and self.vocabulary[at] == h else -1
-        return out
+        new = list(words - self.keys())
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64).view(np.int64)
+        at = np.searchsorted(self.vocabulary, hashes)
+        found = np.append(self.vocabulary, 0)[at] == hashes
+        self.update(zip(new, np.where(found & (at < len(self.vocabulary)), at, -1).tolist()))
 
 
 def _counted(docs: DataFrame, vocabulary=None) -> DataFrame:
@@ -203,14 +210,18 @@ def _counted(docs: DataFrame, vocabulary=None) -> DataFrame:
         for b in trimmed(batches):
             for i in range(0, len(b), 512):
                 part, terms, counts = b.slice(i, 512), [], []
-                for t in part.column(1):
-                    held = Counter(terms_of(t.as_py()))
-                    at = np.fromiter(map(term_hash if known is None else known.__getitem__, held), np.int64, len(held))
-                    n, order = np.fromiter(held.values(), np.int32, len(held)), np.argsort(at)
+                for k in range(0, len(part), 64):
+                    some = [Counter(terms_of(t.as_py())) for t in part.column(1).slice(k, 64)]
                     if known is not None:
-                        order = order[at[order] >= 0]
-                    terms.append(at[order] if known is None else np.diff(at[order], prepend=0))
-                    counts.append(n[order])
+                        known.learn(set().union(*some))
+                    for held in some:
+                        at = np.fromiter(map(term_hash if known is None else known.__getitem__, held), np.int64, len(held))
+                        n = np.fromiter(held.values(), np.int32, len(held))
+                        if known is not None:
+                            n, at = n[at >= 0], at[at >= 0]
+                        order = np.argsort(at)
+                        terms.append(at[order] if known is None else np.diff(at[order], prepend=0))
+                        counts.append(n[order])
                 offsets = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
                 lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)))
                 kind = np.int64 if known is None else np.int32

@@ -37,10 +37,11 @@ MAGIC = b"FGTOK001"
 LEVEL = 1
 #: Documents of a shard, of the dictionary's sample, bytes of the dictionary, chunks that a worker remembers.
 SHARD_DOCS, SAMPLE_DOCS, DICT_BYTES, MEMO, LONGEST = 4096, 1024, 1 << 16, 100_000, 48
-#: Marks that a tokenizer sets apart from the letter or digit before them, and plain lower-case letters.
+#: Marks that a tokenizer sets apart from the letter or digit before them, and letters of Latin-1, marks of ASCII behind them or not
+#: (no apostrophe, which may begin a contraction, and no sign of special tokens).
 MARKED = r"([a-z0-9])([.,;:?!])([\x20\x09-\x0D]|\z)"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:;=?@\[-`{}~]+)?").fullmatch
 #: Bytes of text handled at once.
 TEXT = 2_000_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4")])
@@ -94,23 +95,26 @@ class Encoder:
         if len(self.memo) + len(chunks) > MEMO:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
-        plain, odd = [], []
+        plain, sizes, odd = [], [], []
         for c in chunks:
             if c in old:
                 memo[c] = old[c]
+            elif self.closes is not None and (m := PLAIN(c)):
+                plain.append(c)
+                sizes.append(1 if m[1] is None else 2)
             else:
-                (plain if self.closes is not None and PLAIN(c) else odd).append(c)
-        # A word of plain letters is one pre-token, which one id ends: many of them go to the tokenizer as one text.
+                odd.append(c)
+        # Letters are one pre-token, marks behind them one more, and one id ends each: many chunks go to the tokenizer as one text.
         for i in range(0, len(plain), 1024):
-            part = plain[i : i + 1024]
+            part, last = plain[i : i + 1024], np.cumsum(sizes[i : i + 1024]) - 1
             (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(e.ids, self.kind)
             at = np.nonzero(self.closes[ids])[0] + 1
-            if len(at) != len(part):
+            if len(at) != last[-1] + 1:
                 odd += part
                 continue
             raw, before = ids.tobytes(), 0
-            for c, end in zip(part, (ids.itemsize * at).tolist()):
+            for c, end in zip(part, (ids.itemsize * at[last]).tolist()):
                 memo[c] = raw[before:end]
                 before = end
         for i in range(0, len(odd), 1024):

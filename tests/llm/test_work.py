@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
 
-from filigree.llm import tokencount, toxicity
+from filigree.llm import tokenbin, tokencount, toxicity
 
 
 PIECES = ["a.b+c@d-e.fr", "@", "1.2.3.4", "1234.5", ".7", "0123456789abcdef" * 2, "0123456789abcdef" * 5, "4" * 12, "4" * 20, "+33 (123) 456-7890", "(123) 456-78", ") 123-", " ", "x", "-", "٣.٤.٥.٦"]
@@ -34,6 +35,33 @@ def test_masks_spare_patterns_that_cannot_match():
     assert least(lambda: tokencount.masks(text)) < 0.5 * least(lambda: list(tokencount._MASK.finditer(text)))
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given in batches."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+def test_letters_with_marks_behind_them_are_encoded_together():
+    encoder = tokenbin.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    letters = ["word", "naïve", "Éß", "straße", "x" * 30, "ÀÖØÞ", "l'eau", "don't", "e\u0301t", "Ж", "12"]
+    marks = ["", "!!", "$$$", ".***", "-", "_", "`^", "''", "'s", "<|", "(=)", "…"]
+    chunks = [a + m for a in letters for m in marks]
+    got = [ids.tolist() for ids in encoder.ids(chunks + [" ".join(chunks)])]
+    assert got == [encoder.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks + [" ".join(chunks)]]
+    encoder.tokenizer.texts = 0
+    list(encoder.ids([" ".join(f"wörd{a}{b}$$$ Çe{a}{b}!!" for a in "abcdefghij" for b in "abcdefghij")]))
+    assert encoder.tokenizer.texts == 1
+
+
 def test_a_query_of_few_postings_is_added_up_at_once_and_has_the_neighbours_that_bounds_give(monkeypatch):
     rng, calls = np.random.default_rng(3), []
     vectors = [(t := np.unique(rng.zipf(1.3, 40).clip(1, 400) - 1), rng.integers(1, 4, len(t)).astype(float)) for _ in range(500)]

@@ -9,7 +9,16 @@ import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
 
-from filigree.llm import tokenbin, tokencount, toxicity
+from filigree.llm import quality, tokenbin, tokencount, toxicity
+
+
+def test_texts_are_flagged_by_the_same_plan_whatever_the_number_of_trusted_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, frame string")
+    for ids in ([], [2], [2, 3]):
+        found = quality.flagged(rows, spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+        assert sorted((r.frame, r.trusted) for r in found.collect()) == [(f, f in "bc" and 2 in ids) for f in "abcd"]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
 PIECES = ["a.b+c@d-e.fr", "@", "1.2.3.4", "1234.5", ".7", "0123456789abcdef" * 2, "0123456789abcdef" * 5, "4" * 12, "4" * 20, "+33 (123) 456-7890", "(123) 456-78", ") 123-", " ", "x", "-", "٣.٤.٥.٦"]

@@ -41,6 +41,10 @@ UNITS = {
 AT_ONCE, PEEK = 512, 0.02
 #: Words of the grams that pick the windows to compare.
 GRAM = 16
+#: Windows in one stretch, at most.
+STRETCH = 32
+#: What occurrences rank by.
+RANK = ("doc_id", "_key", "_at")
 #: ASCII characters that belong to words, as in decontam.WORD.
 _IN_WORD = np.array([chr(c).isalnum() for c in range(128)])
 
@@ -76,13 +80,16 @@ def _units(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, _key long, _at long, _span long, _digest long")
 
 
+def _frequent(every: DataFrame, digest: str) -> list[int]:
+    """Digests that a 1/2000 of the rows or more have; their number has that bound, so they are handled without a shuffle of their rows."""
+    least = max(20, int(every.count() * PEEK / 1500))
+    return [r[0] for r in every.select(digest).sample(PEEK, 5).groupBy(digest).count().where(F.col("count") >= least).select(digest).collect()]
+
+
 def _later(every: DataFrame) -> DataFrame:
-    """The rows of ``every (doc_id, _key, _at, _span, _digest)`` but the first of each digest, with ``_first``, the first one's rank."""
-    total = every.count()
-    rank = F.struct("doc_id", "_key", "_at")
-    # Digests that hold a 1/2000 of the units or more; their number has that bound, and they are handled without a shuffle of their rows.
-    least = max(20, int(total * PEEK / 1500))
-    hot = [r[0] for r in every.select("_digest").sample(PEEK, 5).groupBy("_digest").count().where(F.col("count") >= least).select("_digest").collect()]
+    """The rows of ``every (doc_id, _key, _at, _digest, ...)`` but the first of each digest, with ``_first``, the first one's rank."""
+    rank = F.struct(*RANK)
+    hot = _frequent(every, "_digest")
     is_hot = F.col("_digest").isin(hot) if hot else F.lit(False)
     first = F.min(rank).over(Window.partitionBy("_digest")).alias("_first")
     again = every.where(~is_hot).select("*", first)
@@ -186,9 +193,23 @@ def _frames(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, _key long, frame binary")
 
 
+def stretches(at: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where stretches begin in ``at``, the first words of windows: windows one word apart that the same gram picks, STRETCH at most.
+
+    Where they end depends on the words in and next to them alone, so copies of a passage have the same stretches but at its ends.
+    """
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]])
+    begin = np.nonzero(new)[0]
+    new[(np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) % STRETCH == 0] = True
+    return np.nonzero(new)[0]
+
+
 def _compared(rows: DataFrame, min_words: int) -> DataFrame:
-    """Units as of ``_units`` of ``rows (doc_id, _key, frame, grams)``: windows that one of the grams picks, by their first word, and lines.
+    """``(doc_id, _key, _at, _span, _digest, _n, _stretch, _windows)`` of ``rows (doc_id, _key, frame, grams)``: stretches of windows that one of the grams picks, and lines.
 
+    ``_n`` counts the windows of a stretch, ``_stretch`` is a digest of them all, ``_windows`` has the span and digest of each;
+    ``_at`` and ``_digest`` are the first one's.  Lines have an ``_n`` of 0 and their places, spans and digests as in ``_units``, by their first word.
     One row more for each text with words, at -1, has the span of all its lines and, for a digest, its words.
     """
 
@@ -196,29 +217,56 @@ def _compared(rows: DataFrame, min_words: int) -> DataFrame:
         memo, unpack = _Hashes(), zstandard.ZstdDecompressor()
         for b in trimmed(batches):
             for i in range(0, len(b), 64):
-                part, out, counts = b.slice(i, 64), [], []
+                part, out, counts, each = b.slice(i, 64), [], [], [np.empty((2, 0), np.int64)]
                 for frame, grams in zip(part.column(2), part.column(3)):
                     text = unpack.decompress(frame.as_py()).decode("utf-8", "surrogatepass")
                     words, (starts, ends) = words_of(text), places(text)
                     again = np.asarray(grams.values.to_numpy()).view(np.uint64) if grams.is_valid else np.empty(0, np.uint64)
-                    at = np.nonzero(np.isin(pickers(words, min_words, memo)[1], again))[0] if len(again) else np.empty(0, np.int64)
+                    least = pickers(words, min_words, memo)[1] if len(again) else np.empty(0, np.uint64)
+                    at = np.nonzero(np.isin(least, again))[0]
                     digests = shingle_hashes(words, min_words, memo)[at] if len(at) else np.empty(0, np.uint64)
                     last = at + min_words - 1
-                    found = [np.stack([at << 32 | min_words, starts[at] << 32 | (ends[last] - starts[at]), digests.view(np.int64)])]
+                    each.append(np.stack([starts[at] << 32 | (ends[last] - starts[at]), digests.view(np.int64)]))
+                    head = stretches(at, least)
+                    n = np.diff(head, append=len(at))
+                    whole = np.array([xxhash.xxh3_64_intdigest(digests[j : j + k].tobytes()) for j, k in zip(head, n)], np.uint64)
+                    a = at[head]
+                    found = [np.stack([a << 32 | min_words, starts[a] << 32 | (ends[last[head + n - 1]] - starts[a]), digests[head].view(np.int64), n, whole.view(np.int64)])]
                     edges = np.array([m.span() for m in re.finditer(UNITS["line"], text)], np.int64).reshape(-1, 2)
                     first, stop = np.searchsorted(starts, edges[:, 0]), np.searchsorted(starts, edges[:, 1])
                     held = stop > first
                     edges, first, stop = edges[held], first[held], stop[held]
                     digests = np.array([xxhash.xxh3_64_intdigest(" ".join(words[j:k])) for j, k in zip(first, stop)], np.uint64)
-                    found.append(np.stack([first << 32 | (stop - first), edges[:, 0] << 32 | (edges[:, 1] - edges[:, 0]), digests.view(np.int64)]))
+                    none = np.zeros(len(first), np.int64)
+                    found.append(np.stack([first << 32 | (stop - first), edges[:, 0] << 32 | (edges[:, 1] - edges[:, 0]), digests.view(np.int64), none, none]))
                     if len(words):
-                        found.append(np.array([[-1], [edges[0, 0] << 32 | (edges[-1, 1] - edges[0, 0])], [len(words)]], np.int64))
+                        found.append(np.array([[-1], [edges[0, 0] << 32 | (edges[-1, 1] - edges[0, 0])], [len(words)], [0], [0]], np.int64))
                     out.append(np.concatenate(found, axis=1))
                     counts.append(out[-1].shape[1])
                 rows_, flat = pa.array(np.repeat(np.arange(len(part)), counts)), np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_), part.column(1).take(rows_), *map(pa.array, flat)], ["doc_id", "_key", "_at", "_span", "_digest"])
+                windows = pa.StructArray.from_arrays(list(map(pa.array, np.concatenate(each, axis=1))), ["_span", "_digest"])
+                windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat[3])]).astype(np.int32)), windows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_), part.column(1).take(rows_), *map(pa.array, flat), windows], names)
 
-    return rows.mapInArrow(run, "doc_id long, _key long, _at long, _span long, _digest long")
+    names = ["doc_id", "_key", "_at", "_span", "_digest", "_n", "_stretch", "_windows"]
+    return rows.mapInArrow(run, f"{', '.join(f'{name} long' for name in names[:-1])}, _windows array<struct<_span: long, _digest: long>>")
+
+
+def _units_of(every: DataFrame) -> DataFrame:
+    """``(doc_id, _key, _at, _span, _digest, _n)``: what is to be compared of the rows of ``_compared``, lines and windows one by one.
+
+    A frequent stretch that another text holds before stays whole, as its first window with the span of all ``_n``: every window of
+    it repeats, and none of them is a first occurrence, since the first of those stretches is taken apart.
+    """
+    held, apart, out = every.where("_n > 0"), F.lit(True), ["doc_id", "_key", "_at", "_span", "_digest", "_n"]
+    if hot := _frequent(held, "_stretch"):
+        table = cut(held.where(F.col("_stretch").isin(hot)).groupBy("_stretch").agg(F.min_by("_key", F.struct(*RANK)).alias("_of")))
+        held = held.join(F.broadcast(table), "_stretch", "left")
+        apart = F.coalesce(F.col("_of") == F.col("_key"), F.lit(True))
+    windows = F.when(apart, F.col("_windows")).otherwise(F.array(F.struct("_span", "_digest")))
+    held = held.select("doc_id", "_key", "_at", F.when(apart, 1).otherwise(F.col("_n")).alias("_n"), F.posexplode(windows).alias("_pos", "_w"))
+    held = held.withColumn("_at", F.col("_at") + F.shiftleft(F.col("_pos").cast("long"), 32)).select("*", "_w.*")
+    return every.where("_n = 0 and _at >= 0").withColumn("_n", F.lit(1).cast("long")).select(*out).unionByName(held.select(*out))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -247,20 +295,20 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     low = F.lit(0xFFFFFFFF)
     begin = F.shiftrightunsigned("_span", 32)
     finish = begin + F.col("_span").bitwiseAND(low)
-    again = _later(every.where("_at >= 0"))
-    word, size = F.shiftrightunsigned("_at", 32), F.col("_at").bitwiseAND(low)
+    again = _later(_units_of(every))
+    word, size = F.shiftrightunsigned("_at", 32), F.col("_at").bitwiseAND(low) + F.col("_n") - 1
     within = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_key") == F.col("_first._key"))
     again = again.where(~within | (word >= F.shiftrightunsigned("_first._at", 32) + size))
     own = ["doc_id", "_key"]
     order = Window.partitionBy(*own).orderBy("_at")
-    again = again.select(*own, "_at", "_span", F.col("_first.doc_id").alias("_of"))
+    again = again.select(*own, "_at", "_span", "_n", F.col("_first.doc_id").alias("_of"))
     reach = F.max(word + size).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = again.withColumn("_new", F.coalesce(word > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     found = runs.groupBy(*own, "_run").agg(
         F.min(begin).alias("start"),
         F.max(finish).alias("end"),
         (F.max(word + size) - F.min(word)).alias("n_words"),
-        F.count("*").alias("n_units"),
+        F.sum("_n").alias("n_units"),
         F.min_by("_of", "_at").alias("first_doc_id"),
     )
     # Copies of whole texts: all their lines repeat.

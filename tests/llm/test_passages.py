@@ -3,7 +3,9 @@
 import random
 import re
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from filigree.llm import queries, substring
 from filigree.llm.decontam import WORD
@@ -67,3 +69,36 @@ def test_query_finds_a_repeated_line(spark, tmp_path):
     docs(spark, [(1, "alpha\nthe same line of eight words here\nbeta"), (2, "gamma\nThe same line of eight words here\ndelta")]).write.parquet(f"{tmp_path}/documents.parquet")
     (found,) = queries.op9_repeated_passages(spark, str(tmp_path)).collect()
     assert (found["doc_id"], found["start"], found["end"], found["n_words"], found["first_doc_id"]) == (2, 6, 39, 7, 1)
+
+
+def test_a_phrase_repeated_in_many_texts_is_compared_by_stretches(spark, monkeypatch):
+    """The rows compared do not follow the words of the repetition, and all of it is given but its first occurrence."""
+    rng, compared = random.Random(13), []
+    later = substring._later
+    monkeypatch.setattr(substring, "_later", lambda every: compared.append(every.count()) or later(every))
+    rows = [(d if d else None, f"{words(rng, rng.randint(1, 20))}\n{words(rng, 3)} " + "Is onhe. " * rng.randint(500, 700)) for d in range(100)]
+    got = sorted(str((r["doc_id"], r["start"], r["end"], r["n_words"])) for r in substring.passages(docs(spark, rows)).collect())
+    assert got == plain_passages(rows, 50) and len(got) >= 100
+    assert compared[0] < 20_000  # of 120,000 windows or so
+
+
+def test_stretches_kept_whole_give_the_rows_of_their_windows(spark, monkeypatch):
+    """Texts that share, overlap and repeat passages, each stretch that occurs twice taken for a frequent one."""
+    rng = random.Random(14)
+    parts = [words(rng, rng.randint(10, 60)) for _ in range(5)] + ["is onhe " * 40, "der " * 90]
+    rows = [(d // 2 if d else None, " ".join(rng.choice([words(rng, 5), *parts]) for _ in range(8)) + "\n" + rng.choice(parts)) for d in range(80)]
+    plain = substring._frequent
+    found = []
+    for most in (10**9, 2):
+        again = lambda every, digest, most=most: plain(every, digest) if digest == "_digest" else [r[0] for r in every.groupBy(digest).count().where(F.col("count") >= most).collect()]
+        monkeypatch.setattr(substring, "_frequent", again)
+        found.append(sorted(substring.passages(docs(spark, rows), min_words=20).collect(), key=str))
+    assert found[0] == found[1] and any(r["n_units"] > 50 for r in found[0])
+    assert sorted(str((r["doc_id"], r["start"], r["end"], r["n_words"])) for r in found[1]) == plain_passages(rows, 20)
+
+
+def test_stretches_end_with_their_gram_or_at_a_gap():
+    least = np.array([7] * 3 + [9] * 70 + [5, 5, 5, 5], np.uint64)
+    at = np.array([*range(75), 76])
+    assert substring.stretches(at, least).tolist() == [0, 3, 35, 67, 73, 75]
+    assert substring.stretches(at[:0], least[:0]).tolist() == []

@@ -80,16 +80,16 @@ def _units(docs: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, _key long, _at long, _span long, _digest long")
 
 
-def _frequent(every: DataFrame, digest: str) -> list[int]:
-    """Digests that a 1/2000 of the rows or more have; their number has that bound, so they are handled without a shuffle of their rows."""
-    least = max(20, int(every.count() * PEEK / 1500))
+def _frequent(every: DataFrame, digest: str, total: int) -> list[int]:
+    """Digests that a 1/2000 of the ``total`` units or more have; their number has that bound, so they are handled without a shuffle of their rows."""
+    least = max(20, int(total * PEEK / 1500))
     return [r[0] for r in every.select(digest).sample(PEEK, 5).groupBy(digest).count().where(F.col("count") >= least).select(digest).collect()]
 
 
-def _later(every: DataFrame) -> DataFrame:
+def _later(every: DataFrame, total: int) -> DataFrame:
     """The rows of ``every (doc_id, _key, _at, _digest, ...)`` but the first of each digest, with ``_first``, the first one's rank."""
     rank = F.struct(*RANK)
-    hot = _frequent(every, "_digest")
+    hot = _frequent(every, "_digest", total)
     is_hot = F.col("_digest").isin(hot) if hot else F.lit(False)
     first = F.min(rank).over(Window.partitionBy("_digest")).alias("_first")
     again = every.where(~is_hot).select("*", first)
@@ -111,7 +111,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     text count as one document; an empty table gives no rows; other columns are
     ignored.
     """
-    again = _later(written(_units(docs, id_col, text_col, unit), "units"))
+    every = written(_units(docs, id_col, text_col, unit), "units")
+    again = _later(every, every.count())
     own = ["doc_id", "_key"]
     again = again.groupBy(*own, "_at").agg(F.min(F.struct("_span", "_first")).alias("m"))
     place = F.shiftrightunsigned("_at", 32)
@@ -259,7 +260,7 @@ def _units_of(every: DataFrame) -> DataFrame:
     it repeats, and none of them is a first occurrence, since the first of those stretches is taken apart.
     """
     held, apart, out = every.where("_n > 0"), F.lit(True), ["doc_id", "_key", "_at", "_span", "_digest", "_n"]
-    if hot := _frequent(held, "_stretch"):
+    if hot := _frequent(held, "_stretch", held.count()):
         table = cut(held.where(F.col("_stretch").isin(hot)).groupBy("_stretch").agg(F.min_by("_key", F.struct(*RANK)).alias("_of")))
         held = held.join(F.broadcast(table), "_stretch", "left")
         apart = F.coalesce(F.col("_of") == F.col("_key"), F.lit(True))
@@ -295,7 +296,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     low = F.lit(0xFFFFFFFF)
     begin = F.shiftrightunsigned("_span", 32)
     finish = begin + F.col("_span").bitwiseAND(low)
-    again = _later(_units_of(every))
+    total = every.where("_at >= 0").agg(F.sum(F.greatest("_n", F.lit(1)))).first()[0]
+    again = _later(_units_of(every), total or 0)
     word, size = F.shiftrightunsigned("_at", 32), F.col("_at").bitwiseAND(low) + F.col("_n") - 1
     within = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_key") == F.col("_first._key"))
     again = again.where(~within | (word >= F.shiftrightunsigned("_first._at", 32) + size))

@@ -75,7 +75,7 @@ def test_a_phrase_repeated_in_many_texts_is_compared_by_stretches(spark, monkeyp
     """The rows compared do not follow the words of the repetition, and all of it is given but its first occurrence."""
     rng, compared = random.Random(13), []
     later = substring._later
-    monkeypatch.setattr(substring, "_later", lambda every: compared.append(every.count()) or later(every))
+    monkeypatch.setattr(substring, "_later", lambda every, *total: compared.append(every.count()) or later(every, *total))
     rows = [(d if d else None, f"{words(rng, rng.randint(1, 20))}\n{words(rng, 3)} " + "Is onhe. " * rng.randint(500, 700)) for d in range(100)]
     got = sorted(str((r["doc_id"], r["start"], r["end"], r["n_words"])) for r in substring.passages(docs(spark, rows)).collect())
     assert got == plain_passages(rows, 50) and len(got) >= 100
@@ -90,7 +90,7 @@ def test_stretches_kept_whole_give_the_rows_of_their_windows(spark, monkeypatch)
     plain = substring._frequent
     found = []
     for most in (10**9, 2):
-        again = lambda every, digest, most=most: plain(every, digest) if digest == "_digest" else [r[0] for r in every.groupBy(digest).count().where(F.col("count") >= most).collect()]
+        again = lambda every, digest, total, most=most: plain(every, digest, total) if digest == "_digest" else [r[0] for r in every.groupBy(digest).count().where(F.col("count") >= most).collect()]
         monkeypatch.setattr(substring, "_frequent", again)
         found.append(sorted(substring.passages(docs(spark, rows), min_words=20).collect(), key=str))
     assert found[0] == found[1] and any(r["n_units"] > 50 for r in found[0])

@@ -120,3 +120,11 @@ def test_queries_agree_with_sql(spark, name):
     names = [c[0] for c in r.description]
     show = lambda row: str([round(v, 4) if isinstance(v, float) else v for v in row])
     assert sorted(show(x) for x in r.fetchall()) == sorted(show([x[c] for c in names]) for x in df.collect())
+
+
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    """block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    want = {"http://a.com/en/1": "block", "http://www.example.com/en/71": "allow", "http://a.net/de/1": "allow", "http://example.net/de/7": "allow", "http://example.net/de/81": "block", "http://b.org/es/": "block", "http://b.org/en/": "allow"}
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in queries.queries()["op3_url_filter"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())

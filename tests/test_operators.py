@@ -98,6 +98,36 @@ def test_blocks_of_neighbours(spark, monkeypatch):
         assert got[i] == np.lexsort((np.arange(90), d))[:4].tolist()
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_rows_are_exact_and_bounded(metric, monkeypatch):
+    """Many equal rows, zeros and places far from the origin; what is held does not follow the number of pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    y = np.vstack([rng.standard_normal((2500, 6)), np.repeat(rng.standard_normal((1, 6)), 500, 0), np.zeros((3, 6))])[rng.permutation(3003)]
+    for shift in (0.0, 1e4):
+        x, ids = y[:700] + shift, np.arange(3003)
+        got = N.nearest_rows(ids[:700], x, ids, y + shift, 7, metric)
+        n = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y + shift, axis=1)
+        d = 1 - np.divide(x @ (y + shift).T, n, out=np.zeros_like(n), where=n > 0) if metric == "cosine" else np.sqrt(((x[:, None] - y - shift) ** 2).sum(2))
+        d = np.round(d, N.TIES) + 0.0
+        d[ids[:700, None] == ids] = np.inf
+        assert got[1].reshape(700, 7).tolist() == np.argsort(d, axis=1, kind="stable")[:, :7].tolist()
+    big = rng.standard_normal((8000, 8))
+    tracemalloc.start()
+    N.nearest_rows(np.arange(8000), big, np.arange(8000), big, 5, metric)
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # the pairs as doubles take 512 MB
+    tracemalloc.stop()
+
+
+def test_few_large_blocks_are_copied(spark):
+    """A table of 30,000 rows is cut in 12 blocks, so that each row goes to 12 cells a side, packed: a row per cell."""
+    df = spark.range(30_000).select(F.col("id").alias("point_id"), F.array(F.lit(1.0)).alias("x"), F.lit(0).alias("g"))
+    grid = F.broadcast(df.groupBy("g").agg(N._blocks(F.count("*")).alias("nl")).withColumn("nr", F.col("nl")))
+    assert N._packed(df, grid, "nl").count() == 12
+    assert spark.range(1).select(N._blocks(F.lit(600_000))).first()[0] == 19
+
+
 def test_stages_and_limits(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((40, 3))

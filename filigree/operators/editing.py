@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ from .trajectories import leaf_points
 
 #: Points of a pair of nodes that a new path is fitted to on the driver, at most.
 LOCAL = 100_000
+#: Parts that the candidates of a leaf are dealt in at most; pairs of candidates and points measured at once.
+TRIED, END_PAIRS = 24, 1 << 19
 
 
 def segment_distance2(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,6 +37,33 @@ def segment_distance2(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return ((x - a - u[:, None] * v) ** 2).sum(1)
 
 
+def end_costs(x: np.ndarray, a: np.ndarray, ends: np.ndarray, par: float) -> np.ndarray:
+    """For each of ``ends`` the quantile ``par`` of the squared distances of the rows to its segment from ``a``.
+
+    Distances come from one product for some ends at a time; ends as good as the least but for rounding are
+    measured anew by their segments, so that the first of equals is the least.
+    """
+    p, q = x - a, ends - a
+    p2, q2, cost = (p**2).sum(1), (q**2).sum(1), np.empty(len(ends))
+    few = max(1, END_PAIRS // max(1, len(x)))
+    for i in range(0, len(ends), few):
+        dot, length = q[i : i + few] @ p.T, q2[i : i + few, None]
+        u = np.clip(np.divide(dot, length, out=np.zeros_like(dot), where=length > 0), 0, 1)
+        cost[i : i + few] = quantiles(p2 + u * (u * length - 2 * dot), par)
+    for i in np.flatnonzero(cost <= cost.min() + 1e-9 * (1 + p2.max() + q2.max())):
+        cost[i] = np.quantile(segment_distance2(x, a, ends[i]), par)
+    return cost
+
+
+def quantiles(rows: np.ndarray, par: float) -> np.ndarray:
+    """The quantile of each row, interpolated as numpy does, without a full sort."""
+    at = par * (rows.shape[1] - 1)
+    low = int(np.floor(at))
+    high = min(low + 1, rows.shape[1] - 1)
+    rows.partition((low, high), axis=1)
+    return rows[:, low] + (rows[:, high] - rows[:, low]) * (at - low)
+
+
 def anneal(objective, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int, seed: int) -> np.ndarray:
     """Simulated annealing in a box: Gaussian steps that shrink as it cools."""
     rng, at, cost = np.random.default_rng(seed), start.copy(), objective(start)
@@ -57,7 +86,8 @@ def extended_ends(points: DataFrame, g: Graph, mode: str = "QuantDists", par: fl
     quantile ``par`` of their distances; ``WeightedCentroid``: mean with weights
     ``d2 ** (2 par)`` over the largest; both are aggregates.  ``QuantDists``: the
     point (or the place that annealing finds from it) for which the quantile of the distances to
-    the new segment is least; the leaf's points go to one task, so this mode is for leaves of moderate size.
+    the new segment is least.  Every point is tried: candidates are dealt over tasks, each with all of the leaf's
+    points, so work follows their square; annealing from the best one runs in a task per leaf.
     """
     beyond = leaf_points(project(points, g, radius), g, leaves).select("point_id", "leaf", "d2").join(points.select("point_id", "x"), "point_id")
     if mode == "QuantCentroid":
@@ -72,17 +102,37 @@ def extended_ends(points: DataFrame, g: Graph, mode: str = "QuantDists", par: fl
     if mode != "QuantDists":
         raise ValueError(f"no such mode: {mode}")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point_id")
-        leaf = int(rows["leaf"].iloc[0])
-        x, a = np.stack(rows["x"].to_numpy()), g.y[leaf]
+    def read(rows: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+        ids, x = rows.column("point_id").to_numpy(), rows.column("x").combine_chunks()
+        order = np.argsort(ids, kind="stable")
+        return rows.column("leaf")[0].as_py(), ids[order], x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+
+    def tried(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        """The candidates of a part that may be best of it, by one product per few of them."""
+        if not asked.num_rows:
+            return pa.table({"leaf": pa.array([], pa.int32()), "best": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
+        leaf, ids, b = read(asked)
+        x = read(rows)[2]
+        cost = end_costs(x, g.y[leaf], b, par)
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "best": pa.array(ids[[cost.argmin()]], pa.int64()), "cost": pa.array([cost.min()], pa.float64())})
+
+    def one(rows: pa.Table) -> pa.Table:
+        leaf, ids, x = read(rows)
+        a = g.y[leaf]
         cost = lambda b: float(np.quantile(segment_distance2(x, a, b), par))
-        best = x[int(np.argmin([cost(b) for b in x]))]  # every point of the leaf is tried
+        best = x[np.searchsorted(ids, rows.column("best")[0].as_py())]
         if anneal_rounds:
             best = anneal(cost, best, x.min(0), x.max(0), anneal_rounds, seed + leaf)
-        return pd.DataFrame({"leaf": leaf, "dim": range(len(best)), "value": best})
-
-    return beyond.groupBy("leaf").applyInPandas(one, "leaf int, dim int, value double")
+        return pa.table({"leaf": pa.array([leaf] * len(best), pa.int32()), "dim": pa.array(range(len(best)), pa.int32()), "value": pa.array(best, pa.float64())})
+
+    beyond = beyond.select(F.col("point_id").cast("long").alias("point_id"), F.col("leaf").cast("int").alias("leaf"), F.col("x").cast("array<double>").alias("x"))
+    parts = F.broadcast(beyond.groupBy("leaf").agg(F.greatest(F.lit(1), F.least(F.lit(TRIED), F.ceil(F.count("*") / 64))).cast("int").alias("parts")))  # a row per leaf
+    dealt = lambda df: df.select("point_id", "leaf", "x", "part").repartition(4 * TRIED, "leaf", "part").groupBy("leaf", "part")
+    asked = beyond.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("point_id", "x"), "parts").cast("int"))
+    again = beyond.select([F.col(c).alias(c) for c in beyond.columns]).join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = dealt(asked).cogroup(dealt(again)).applyInArrow(tried, "leaf int, best long, cost double")
+    best = found.groupBy("leaf").agg(F.min_by("best", F.struct("cost", "best")).alias("best"))
+    return beyond.join(F.broadcast(best), "leaf").groupBy("leaf").applyInArrow(one, "leaf int, dim int, value double")
 
 
 def extend_leaves(points: DataFrame, g: Graph, lam: float | None = None, mu: float | None = None, **kwargs) -> Graph:

@@ -392,3 +392,18 @@ def test_geodesic_follows_a_chain_to_its_end(spark):
     assert all(abs(got[i] - i) < 1e-9 for i in range(n))
     with pytest.raises(RuntimeError):
         N.geodesic(chain, 20, 0, rounds=3)
+
+
+def test_leaf_ends_are_dealt_over_tasks(spark):
+    """Costs by products are those by segments, ties go to the first, and candidates go to parts; the result is that of trying each."""
+    rng = np.random.default_rng(9)
+    x, a = rng.standard_normal((400, 5)), rng.standard_normal(5)
+    x[7], x[300] = a, x[20]
+    slow = np.array([np.quantile(E.segment_distance2(x, a, b), 0.9) for b in x])
+    fast = E.end_costs(x, a, x, 0.9)
+    assert np.allclose(fast, slow, atol=1e-9) and fast.argmin() == slow.argmin() and fast.min() == slow.min()
+    g = Graph(np.array([[0.0, 0], [1, 0], [2, 0]]), np.array([[0, 1], [1, 2]]), np.full(2, 0.1), np.full(3, 0.1))
+    y = rng.standard_normal((700, 2)) * 0.3 + [2.5, 0]
+    got = E.extended_ends(points(spark, y), g, "QuantDists", 0.9, anneal_rounds=0).where("leaf = 2").orderBy("dim").collect()
+    own = y[y[:, 0] > 2]
+    assert [r["value"] for r in got] == own[np.argmin([np.quantile(E.segment_distance2(own, g.y[2], b), 0.9) for b in own])].tolist()

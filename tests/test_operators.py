@@ -407,3 +407,15 @@ def test_leaf_ends_are_dealt_over_tasks(spark):
     got = E.extended_ends(points(spark, y), g, "QuantDists", 0.9, anneal_rounds=0).where("leaf = 2").orderBy("dim").collect()
     own = y[y[:, 0] > 2]
     assert [r["value"] for r in got] == own[np.argmin([np.quantile(E.segment_distance2(own, g.y[2], b), 0.9) for b in own])].tolist()
+
+
+def test_transport_beyond_one_matrix(spark, monkeypatch):
+    """Windows too large for one task's matrix are coupled by pairs of blocks, with the same labels."""
+    from filigree.operators import propagate as L
+
+    monkeypatch.setattr(N, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((70, 3)), rng.standard_normal((60, 3)) + 0.3
+    source = points(spark, x).withColumn("label", F.concat(F.lit("l"), (F.col("point_id") % 3).cast("string")))
+    run = lambda most: {r["point_id"]: r["label"] for r in L.propagate(source, points(spark, y), "ot", reg=1.0, most=most).collect()}
+    assert run(50) == run(100) and len(run(50)) == 60

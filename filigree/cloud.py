@@ -5,7 +5,9 @@ Fitting needs few things of it: weighted sums per node for a batch of candidate
 graphs, moments, and small samples.  Two engines give them: one that sends the
 nodes to the partitions of the DataFrame and adds up partial sums, and one for
 clouds that are proven small (rows times dimensions up to SMALL), which holds
-the coordinates on the driver and needs no job per iteration.
+the coordinates on the driver and needs no job per iteration.  The first packs
+the coordinates once into blocks of bytes and keeps these, so that a pass moves
+them as they are instead of turning every array into a row again.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Coordinates that the driver holds at most; rows measured at once; partial sums of a candidate that reach the driver.
+#: Coordinates that the driver holds at most; rows measured at once; partial sums of a candidate that reach the driver where they are added up before.
 SMALL, AT_ONCE, PARTIALS = 1 << 22, 8192, 16
+#: Coordinates of a block; nodes of several candidates measured at once; bytes of partial sums that may reach the driver as they are.
+BLOCK, STACK, DIRECT = 1 << 18, 256, 1 << 25
 
 
 @dataclass
@@ -78,6 +82,36 @@ def partial(x: np.ndarray, x2: np.ndarray, w: np.ndarray, y: np.ndarray, radius:
     return Stats(weight, sums, float((w * d2).sum()), float(w.sum()))
 
 
+def partials(x: np.ndarray, w: np.ndarray, ys: list[np.ndarray], radius: float) -> Iterator[Stats]:
+    """``partial`` for each of ``ys``; small candidates are measured STACK nodes at a time by one matrix product, and summed by another."""
+    x2, total, first = (x**2).sum(1), float(w.sum()), 0
+    while first < len(ys):
+        last, nodes = first + 1, len(ys[first])
+        while last < len(ys) and nodes + len(ys[last]) <= STACK:
+            nodes, last = nodes + len(ys[last]), last + 1
+        if nodes > STACK:
+            yield partial(x, x2, w, ys[first], radius)
+            first = last
+            continue
+        y = np.vstack(ys[first:last])
+        d2 = np.maximum(0, x2 + (y**2).sum(1)[:, None] - y @ (2 * x).T)
+        own, spreads, at = np.zeros_like(d2), [], 0
+        for k in map(len, ys[first:last]):
+            node, least = np.full(len(x), at), d2[at].copy()
+            for j in range(at + 1, at + k):  # along the rows: the lowest node wins ties
+                node[d2[j] < least] = j
+                np.minimum(least, d2[j], out=least)
+            far = least > radius * radius
+            own[node, np.arange(len(x))] = np.where(far, 0, w)
+            spreads.append(float((w * np.where(far, radius * radius, least)).sum() if far.any() else (w * least).sum()))
+            at += k
+        weight, sums, at = own.sum(1), own @ x, 0
+        for k, spread in zip(map(len, ys[first:last]), spreads):
+            yield Stats(weight[at : at + k], sums[at : at + k], spread, total)
+            at += k
+        first = last
+
+
 class Engine:
     """What fitting asks of a cloud."""
 
@@ -99,6 +133,9 @@ class Engine:
         """The cloud with ``shift`` subtracted and, if given, multiplied by ``turn``."""
         raise NotImplementedError
 
+    def close(self) -> None:
+        """Gives back what the engine keeps on the executors."""
+
 
 class LocalEngine(Engine):
     def __init__(self, x: np.ndarray, w: np.ndarray | None = None):
@@ -125,24 +162,29 @@ class LocalEngine(Engine):
 
 
 class SparkEngine(Engine):
-    """Nodes go out with the task, partial sums come back: per task and candidate one row, added up in two steps."""
+    """Nodes go out with the task, partial sums come back: per task and candidate one row, added up in two steps where they are many.
 
-    def __init__(self, points: DataFrame, dim: int, count: int, shift: np.ndarray | None = None, turn: np.ndarray | None = None):
+    ``blocks``: the packed points, kept until ``close``.
+    """
+
+    def __init__(self, points: DataFrame, dim: int, count: int, shift: np.ndarray | None = None, turn: np.ndarray | None = None, blocks: DataFrame | None = None):
         self.points, self.dim, self.count = points, dim, count
         self.shift, self.turn = np.zeros(dim) if shift is None else shift, turn
+        self.blocks = packed(points, dim).persist() if blocks is None else blocks
+        self._moments: tuple[np.ndarray, np.ndarray] | None = None
+
+    def close(self) -> None:
+        """Gives the kept blocks back; the engine and those moved from it can still be asked, at the price of packing again."""
+        self.blocks.unpersist()
 
     def stats(self, ys, radius=np.inf):
-        arrays, sizes = _reader(self.shift, self.turn), [len(y) for y in ys]
+        arrays, sizes = _reader(self.dim, self.shift, self.turn), [len(y) for y in ys]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[Stats | None] = [None] * len(ys)
-            for b in batches:
-                if len(b):
-                    x, w = arrays(b)
-                    x2 = (x**2).sum(1)
-                    for c, y in enumerate(ys):
-                        s = partial(x, x2, w, y, radius)
-                        held[c] = s if held[c] is None else held[c] + s
+            for x, w in arrays(batches):
+                for c, s in enumerate(partials(x, w, ys, radius)):
+                    held[c] = s if held[c] is None else held[c] + s
             yield _rows(held)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,17 +195,20 @@ class SparkEngine(Engine):
                     held[c] = s if held[c] is None else held[c] + s
             yield _rows(held)
 
-        per_task = self.points.select("x", "w").mapInArrow(run, "cand int, raw binary")
-        few = per_task.repartition(PARTIALS, F.spark_partition_id()).mapInArrow(add, "cand int, raw binary")
-        out: list[Stats] = [Stats(np.zeros(len(y)), np.zeros_like(y), 0.0, 0.0) for y in ys]
-        for c, raw in few.collect():  # PARTIALS rows per candidate at most
+        few = self.blocks.mapInArrow(run, "cand int, raw binary")
+        if 8 * sum(2 + y.size + len(y) for y in ys) * self.blocks.rdd.getNumPartitions() > DIRECT:
+            few = few.repartition(PARTIALS, F.spark_partition_id()).mapInArrow(add, "cand int, raw binary")
+        out: list[Stats] = [Stats(np.zeros(len(y)), np.zeros_like(y, float), 0.0, 0.0) for y in ys]
+        for c, raw in few.collect():  # DIRECT bytes, or PARTIALS rows per candidate, at most
             out[c] = out[c] + _stats(bytes(raw), sizes[c])
         return out
 
     def moments(self):
-        arrays, width = _reader(self.shift, self.turn), self.dim if self.turn is None else self.turn.shape[1]
+        if self._moments is not None:
+            return self._moments
+        arrays, width = _reader(self.dim, self.shift, self.turn), self.dim if self.turn is None else self.turn.shape[1]
 
-        def packed(held: tuple) -> pa.RecordBatch:
+        def row(held: tuple) -> pa.RecordBatch:
             raw = np.concatenate([np.ravel(v) for v in held]).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([raw], pa.binary())], ["cand", "raw"])
 
@@ -173,13 +218,11 @@ class SparkEngine(Engine):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
-            for b in batches:
-                if len(b):
-                    x, _ = arrays(b)
-                    mean = x.mean(0)
-                    held = _merged(held, (float(len(x)), mean, (x - mean).T @ (x - mean)))
+            for x, _ in arrays(batches):
+                mean = x.mean(0)
+                held = _merged(held, (float(len(x)), mean, (x - mean).T @ (x - mean)))
             if held is not None:
-                yield packed(held)
+                yield row(held)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
@@ -187,14 +230,15 @@ class SparkEngine(Engine):
                 for raw in b.column(1).to_pylist():
                     held = _merged(held, unpacked(raw))
             if held is not None:
-                yield packed(held)
+                yield row(held)
 
-        parts = self.points.select("x", "w").mapInArrow(run, "cand int, raw binary").repartition(PARTIALS, F.spark_partition_id()).mapInArrow(add, "cand int, raw binary")
+        parts = self.blocks.mapInArrow(run, "cand int, raw binary").repartition(PARTIALS, F.spark_partition_id()).mapInArrow(add, "cand int, raw binary")
         held = None
         for r in parts.collect():  # PARTIALS rows at most
             held = _merged(held, unpacked(bytes(r[1])))
         n, mean, scatter = held
-        return mean, scatter / max(n - 1, 1)
+        self._moments = mean, scatter / max(n - 1, 1)
+        return self._moments
 
     def sample(self, n, seed):
         share = min(1.0, 1.5 * n / max(self.count, 1) + 20 / max(self.count, 1))
@@ -207,15 +251,35 @@ class SparkEngine(Engine):
     def moved(self, shift, turn=None):
         if self.turn is not None:
             raise ValueError("a cloud is turned once")
-        return SparkEngine(self.points, self.dim, self.count, self.shift + shift, turn)
+        return SparkEngine(self.points, self.dim, self.count, self.shift + shift, turn, self.blocks)
+
+
+def packed(points: DataFrame, dim: int) -> DataFrame:
+    """``(kind, x, w)``: blocks of BLOCK coordinates as bytes, in single precision where that loses nothing, with their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, BLOCK // max(dim, 1))
+        for b in batches:
+            for i in range(0, len(b), rows):
+                part = b.slice(i, rows)
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False)
+                with np.errstate(over="ignore"):
+                    short = x.astype("<f4")
+                kind = "<f4" if (short == x).all() else "<f8"
+                raw, w = (short if kind == "<f4" else x.astype("<f8")).tobytes(), part.column(1).to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([raw], pa.binary()), pa.array([w.tobytes()], pa.binary())], ["kind", "x", "w"])
+
+    return points.select("x", "w").mapInArrow(run, "kind string, x binary, w binary")
 
 
-def _reader(shift: np.ndarray, turn: np.ndarray | None):
-    """What turns a batch ``(x, w)`` into shifted and turned coordinates and weights."""
+def _reader(dim: int, shift: np.ndarray, turn: np.ndarray | None):
+    """What gives the shifted and turned coordinates and the weights of each block."""
 
-    def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1) - shift
-        return (x if turn is None else x @ turn), b.column(1).to_numpy(zero_copy_only=False)
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            for kind, raw, w in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                x = np.frombuffer(raw.as_buffer(), kind).reshape(-1, dim) - shift
+                yield (x if turn is None else x @ turn), np.frombuffer(w.as_buffer(), "<f8")
 
     return arrays
 
@@ -265,4 +329,4 @@ class PointCloud:
             got = self.points.orderBy("point_id").toArrow()
             x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim) if got.num_rows else np.empty((0, self.dim))
             return LocalEngine(x, got["w"].to_numpy())
-        return SparkEngine(self.points.persist(), self.dim, self.count)
+        return SparkEngine(self.points, self.dim, self.count)

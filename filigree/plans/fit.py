@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -14,6 +15,8 @@ from ..graph import Energy, Graph, adjust_by_constant, barcode, uniform
 from .embed import Embedded, Rules, embed
 from .grammar import candidates, check_limits, unbend_leaves
 
+#: Replicas that are fitted side by side.
+AT_ONCE = 4
 #: Names of the columns of a report, in their order.
 REPORT = ("barcode", "energy", "nnodes", "nedges", "nribs", "nstars", "nrays", "nrays2", "mse", "msep", "fve", "fvep", "ue", "ur", "urn", "urn2", "ursd")
 
@@ -182,23 +185,31 @@ def fit_replicas(
 
     A replica sees each point with probability ``share``, the same points for the same seed, weights along
     with them.  A start that is made from points is made from the replica's, or from all if not ``sample_start``.
-    The consensus is fitted to the pooled nodes of the replicas and comes last.
+    The consensus is fitted to the pooled nodes of the replicas and comes last.  AT_ONCE replicas are fitted
+    side by side: each waits for many short jobs, one after another, that leave cores idle.
     """
+    from pyspark import inheritable_thread_target
     from pyspark.sql import functions as F
 
+    def one(points: DataFrame, begin: Callable[[Engine], Graph] | Graph) -> Fitted:
+        engine = PointCloud(points).engine()
+        try:
+            return fit(engine, begin, o, fixed_points)
+        finally:
+            engine.close()
+
     out = []
     for s, columns in enumerate(subsets or [None]):
-        own: list[Fitted] = []
         every = cloud.points
         if columns is not None:
             every = every.withColumn("x", F.array(*[F.col("x")[c] for c in columns]))
         begin = start if sample_start or not callable(start) else start(PointCloud(every).engine())
-        for r in range(replicas):
-            points = every
-            if share < 1:
-                points = points.where((F.xxhash64("point_id", F.lit(seed * 1000 + r)).cast("double") / F.lit(2.0**64) + 0.5) < share)
-            engine = PointCloud(points).engine()
-            own.append(replace(fit(engine, begin, o, fixed_points), subset=s, replica=r))
+        drawn = [every] * replicas
+        if share < 1:
+            drawn = [every.where((F.xxhash64("point_id", F.lit(seed * 1000 + r)).cast("double") / F.lit(2.0**64) + 0.5) < share) for r in range(replicas)]
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            fits = [pool.submit(inheritable_thread_target(every.sparkSession)(one), points, begin) for points in drawn]
+            own = [replace(f.result(), subset=s, replica=r) for r, f in enumerate(fits)]
         out += own
         if replicas > 1 and consensus:
             pooled = LocalEngine(np.vstack([f.graph.y for f in own]))

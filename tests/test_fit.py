@@ -167,6 +167,36 @@ def test_replicas_and_consensus(spark):
     assert made[0].graph.y.shape[1] == 2 and made[-1].graph.y.shape[1] == 1
 
 
+def test_replicas_on_executors_share_passes_and_give_their_blocks_back(spark, monkeypatch):
+    x = branching()
+    cloud = PointCloud(from_array(spark, x).repartition(3))
+    near = topologies.tree(cloud, 5, replicas=3, share=0.8, seed=2)
+    kept, engines = spark.sparkContext._jsc.getPersistentRDDs().size(), PointCloud.engine
+    monkeypatch.setattr(PointCloud, "engine", lambda self: engines(self, small=0))
+    far = topologies.tree(cloud, 5, replicas=3, share=0.8, seed=2)
+    assert [f.replica for f in far] == [0, 1, 2, 3]
+    for a, b in zip(near, far):  # edits of equal energy may number the same nodes in another order
+        p, q = (g.y[np.lexsort(np.round(g.y, 6).T)] for g in (a.graph, b.graph))
+        assert np.allclose(p, q, atol=1e-8) and np.isclose(a.energy.total, b.energy.total) and barcode(a.graph) == barcode(b.graph)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_points_are_kept_as_blocks_of_bytes(spark, monkeypatch):
+    x = np.vstack([branching().astype("f4").astype(float), branching()])
+    w = np.random.default_rng(1).random(len(x)) + 0.5
+    far = PointCloud(from_array(spark, x, w).coalesce(1)).engine(small=0)
+    blocks = far.blocks.collect()
+    assert len(blocks) < 4 and sum(len(b["w"]) for b in blocks) == 8 * len(x)
+    ys = [x[:7], x[100:104], x[:300], x[[5, 5, 9]], x[:1]]  # equal nodes tie; one candidate is larger than a stack
+    for radius in (np.inf, 0.4):
+        want = LocalEngine(x, w).stats(ys, radius)
+        for direct in (1 << 25, 0):
+            monkeypatch.setattr("filigree.cloud.DIRECT", direct)
+            for a, b in zip(want, far.stats(ys, radius)):
+                assert np.allclose(a.weight, b.weight) and np.allclose(a.sums, b.sums) and np.isclose(a.spread, b.spread) and np.isclose(a.total, b.total)
+    far.close()
+
+
 def test_supervision_follows_pseudotime():
     x = branching()
     t = np.linalg.norm(x, axis=1)

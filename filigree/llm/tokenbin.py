@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -35,13 +34,15 @@ from .common import cut, new_path, trimmed, uri, written
 
 MAGIC = b"FGTOK001"
 LEVEL = 1
-#: Documents of a shard, of the dictionary's sample, bytes of the dictionary, chunks that a worker remembers.
-SHARD_DOCS, SAMPLE_DOCS, DICT_BYTES, MEMO, LONGEST = 4096, 1024, 1 << 16, 100_000, 48
+#: Documents of a shard, of the dictionary's sample, bytes of the dictionary, chunks that a worker remembers, bytes of the longest, chunks encoded as one text.
+SHARD_DOCS, SAMPLE_DOCS, DICT_BYTES, MEMO, LONGEST, JOINED = 4096, 1024, 1 << 16, 300_000, 48, 1024
 #: Marks that a tokenizer sets apart from the letter or digit before them, and letters of Latin-1, marks of ASCII behind them or not
 #: (no apostrophe, which may begin a contraction, and no sign of special tokens).
 MARKED = r"([a-z0-9])([.,;:?!])([\x20\x09-\x0D]|\z)"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:;=?@\[-`{}~]+)?").fullmatch
+MARKS = r"[!-&(-/:;=?@\[-`{}~]"
+PLAIN = rf"^[A-Za-zÀ-ÖØ-öø-ÿ]+{MARKS}*\z"
+ENDING = rf"^([^\x00-@\[-`{{-~]+)({MARKS}+)\z"
 #: Bytes of text handled at once.
 TEXT = 2_000_000
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u4")])
@@ -63,8 +64,9 @@ class Encoder:
     """Ids of whole texts, fast for a tokenizer that lower-cases and never looks across ASCII white space.
 
     Any other tokenizer encodes texts whole, ``looks_at_words_alone`` tells.  The one named gives a text the ids of its white-space-separated chunks one after another, and a chunk that ends
-    in one mark after an ASCII letter or digit those of the two parts.  Ids of short chunks are remembered in two
-    generations, so that frequent ones stay.  Texts that may hold the tokenizer's own special tokens are encoded whole.
+    in one mark after an ASCII letter or digit those of the two parts.  ASCII letters, marks behind them or not, go to the tokenizer's model without its
+    normaliser and its search for words, which do nothing more to them than is done here.  Ids of short chunks are remembered, when there are
+    too many those of the last texts alone.  Texts that may hold the tokenizer's own special tokens are encoded whole.
     """
 
     _of: dict[str, "Encoder"] = {}
@@ -73,15 +75,23 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
-        self.apart = looks_at_words_alone(json.loads(self.tokenizer.to_str()))
+        self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.apart = looks_at_words_alone(spec)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         most = max(vocabulary.values())
         self.kind, self.closes = "<u2" if most < 1 << 16 else "<u4", None
-        if suffix:
+        if suffix and self.apart:
             self.closes = np.zeros(1 + most, bool)
             self.closes[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remembered chunks, their ids one after another, where those of each begin and how many they are."""
+        self.known, self.pool = pa.array([], pa.string()), np.empty(0, self.kind)
+        self.first, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -90,47 +100,56 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts the ids of all chunks into ``memo``."""
-        if len(self.memo) + len(chunks) > MEMO:
-            self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        plain, sizes, odd = [], [], []
-        for c in chunks:
-            if c in old:
-                memo[c] = old[c]
-            elif self.closes is not None and (m := PLAIN(c)):
-                plain.append(c)
-                sizes.append(1 if m[1] is None else 2)
-            else:
-                odd.append(c)
-        # Letters are one pre-token, marks behind them one more, and one id ends each: many chunks go to the tokenizer as one text.
-        for i in range(0, len(plain), 1024):
-            part, last = plain[i : i + 1024], np.cumsum(sizes[i : i + 1024]) - 1
-            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, self.kind)
-            at = np.nonzero(self.closes[ids])[0] + 1
-            if len(at) != last[-1] + 1:
-                odd += part
-                continue
-            raw, before = ids.tobytes(), 0
-            for c, end in zip(part, (ids.itemsize * at[last]).tolist()):
-                memo[c] = raw[before:end]
-                before = end
-        for i in range(0, len(odd), 1024):
-            part = odd[i : i + 1024]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[c] = np.array(e.ids, self.kind).tobytes()
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks."""
-        out = list(map(self.memo.get, chunks))
-        lost = [i for i, ids in enumerate(out) if ids is None]
-        self._learn([chunks[i] for i in lost])
-        for i in lost:
-            out[i] = self.memo[chunks[i]]
-            if len(chunks[i]) > LONGEST:
-                del self.memo[chunks[i]]
+    def _by_chunk(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of chunks, one by one, and how many each has."""
+        ids = [np.array(e.ids, self.kind) for i in range(0, len(chunks), JOINED) for e in self.tokenizer.encode_batch_fast(chunks.slice(i, JOINED).to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.empty(0, self.kind), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _by_word(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks that are PLAIN: one id ends the letters, one the marks behind them, so many go to the model as one text."""
+        parts = pc.replace_substring_regex(chunks, ENDING, r"\1 \2")
+        last = np.cumsum(1 + (pc.binary_length(parts).to_numpy() > pc.binary_length(chunks).to_numpy())) - 1
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), " ")[0].as_py()
+        (e,) = (self.words if text.isascii() else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(e.ids, self.kind)
+        ends = np.nonzero(self.closes[ids])[0] + 1
+        if len(ends) != last[-1] + 1:
+            return self._by_chunk(chunks)
+        return ids, np.diff(ends[last], prepend=0)
+
+    def _new(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Chunks in an order of their own, all their ids, how many each has."""
+        odd, made = chunks, []
+        if self.closes is not None:
+            plain = pc.match_substring_regex(chunks, PLAIN)
+            odd, ascii = chunks.filter(pc.invert(plain)), pc.string_is_ascii(chunks)
+            for own in (chunks.filter(pc.and_(plain, ascii)), chunks.filter(pc.and_not(plain, ascii))):
+                made += [(p, *self._by_word(p)) for p in (own.slice(i, JOINED) for i in range(0, len(own), JOINED))]
+        made.append((odd, *self._by_chunk(odd)))
+        return pa.concat_arrays([p for p, _, _ in made]), np.concatenate([ids for _, ids, _ in made]), np.concatenate([n for _, _, n in made])
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct chunks: ids, where those of each begin among them, how many they are."""
+        at = pc.index_in(chunks, self.known)
+        new, ids, sizes = self._new(chunks.filter(at.is_null()))
+        known, pool = pa.concat_arrays([self.known, new]), np.concatenate([self.pool, ids])
+        every = np.append(self.sizes, sizes)
+        first = np.append(self.first, len(self.pool) + np.cumsum(sizes) - sizes)
+        place = at.to_numpy(zero_copy_only=False)
+        if len(new):
+            lost = at.is_null()
+            place = place.copy()
+            place[lost.to_numpy(zero_copy_only=False)] = len(self.known) + pc.index_in(chunks.filter(lost), new).to_numpy()
+        place = place.astype(np.int64)
+        out = pool, first[place], every[place]
+        if len(known) > MEMO:  # those of these texts alone
+            known, pool, first, every = chunks, *_gathered(pool, first[place], every[place])
+        if len(new):
+            short = pc.less_equal(pc.binary_length(known), LONGEST)
+            if not pc.all(short).as_py():
+                keep = short.to_numpy(zero_copy_only=False)
+                known, pool, first, every = known.filter(short), *_gathered(pool, first[keep], every[keep])
+            self.known, self.pool, self.first, self.sizes = known, pool, first, every
         return out
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -154,14 +173,10 @@ class Encoder:
         apart = pc.replace_substring_regex(pc.ascii_lower(texts), MARKED, r"\1 \2\3")
         split = pc.ascii_split_whitespace(apart)
         coded = split.values.dictionary_encode()
-        ids = self._chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        at, pool = coded.indices.to_numpy(), np.frombuffer(b"".join(ids), self.kind)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // pool.itemsize
-        n = sizes[at]
-        ends = np.cumsum(n)
-        take = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)
-        take += np.arange(len(take))
-        out, bounds = pool[take], np.append(0, ends)[split.offsets.to_numpy()]
+        pool, first, sizes = self._chunk_ids(coded.dictionary)
+        at = coded.indices.to_numpy()
+        out, begins, _ = _gathered(pool, first[at], sizes[at])
+        bounds = np.append(begins, len(out))[split.offsets.to_numpy()]
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         for k in range(len(texts)):
             if special[k]:
@@ -170,6 +185,14 @@ class Encoder:
                 yield out[bounds[k] : bounds[k + 1]].tobytes()
 
 
+def _gathered(pool: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of ``pool`` one after another, where each now begins, and their sizes."""
+    begins = np.cumsum(sizes) - sizes
+    take = np.repeat(first - begins, sizes)
+    take += np.arange(len(take))
+    return pool[take], begins, sizes
+
+
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A zstandard dictionary, or none where the samples are too few or too small for one."""
     try:

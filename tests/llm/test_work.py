@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -71,6 +75,22 @@ def test_letters_with_marks_behind_them_are_encoded_together():
     assert encoder.tokenizer.texts == 1
 
 
+@pytest.mark.parametrize("memo", [300_000, 150, 0])
+def test_ascii_words_go_to_the_model_alone_whatever_is_remembered(monkeypatch, memo):
+    monkeypatch.setattr(tokenbin, "MEMO", memo)
+    encoder = tokenbin.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole, encoder.tokenizer = encoder.tokenizer, Counted(encoder.tokenizer)
+    made = ["".join(p) for p in itertools.product("abcd", "xyz", "eio", ["", "n", "_", "!?", "$[", "~."])]
+    texts = [" ".join(made[i : i + 60]) for i in range(0, len(made), 40)] + ["Zq" * 40 + " zqzq", None, " ".join(made), "it is x!- 's y"]
+    for n, text in enumerate(texts):  # one after another: words of the text before are remembered, or forgotten
+        (ids,) = encoder.ids([text])
+        assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids
+        assert encoder.tokenizer.texts == 0 or n > 6  # no chunk is empty or begins with an apostrophe before the eighth text
+    assert pa.compute.max(pa.compute.binary_length(encoder.known)).as_py() <= tokenbin.LONGEST
+    got = [ids.tolist() for ids in encoder.ids(texts * 2)]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts * 2]
+
+
 def test_a_query_of_few_postings_is_added_up_at_once_and_has_the_neighbours_that_bounds_give(monkeypatch):
     rng, calls = np.random.default_rng(3), []
     vectors = [(t := np.unique(rng.zipf(1.3, 40).clip(1, 400) - 1), rng.integers(1, 4, len(t)).astype(float)) for _ in range(500)]
